@@ -64,6 +64,10 @@ class Timeline:
             splits = sorted({float(v) for v in found})
         return cls(tuple(keys), axis, tuple(ties or ()), descending, tuple(splits), limit)
 
+    def tied(self, *ties: str) -> Timeline:
+        """Same blocks with other tie breakers, for subsets and unions of the measured rows."""
+        return replace(self, ties=ties)
+
     def reversed(self) -> Timeline:
         """Same blocks, walked backwards along the axis; ties keep their own order."""
         return replace(self, descending=not self.descending)
