@@ -48,11 +48,11 @@ def rolling_rms(spark, folder):
 
 @query(
     "win11_low_pass",
-    f"""WITH {EVENTS}, w AS (SELECT event_id, list(value / 7.0) OVER (PARTITION BY capture_id ORDER BY t, event_id) AS xs FROM events_v)
+    f"""WITH {EVENTS}, w AS (SELECT event_id, list(sqrt(value)) OVER (PARTITION BY capture_id ORDER BY t, event_id) AS xs FROM events_v)
     SELECT event_id, round(list_reduce(xs, lambda g, x: g + CAST(0.05 AS DOUBLE) * (x - g)), 6) AS low FROM w""",
 )
 def low_pass(spark, folder):
-    stream = events(spark, folder).select("capture_id", "event_id", "t", (F.col("value") / 7.0).alias("value"))
+    stream = events(spark, folder).select("capture_id", "event_id", "t", F.sqrt("value").alias("value"))
     return rounded(ema(stream, line_of(stream), {"low": "value"}, 0.05).select("event_id", "low"))
 
 
