@@ -101,7 +101,7 @@ def rate_bin(rate_deg: Column) -> Column:
 def sweep_rate_median(samples: DataFrame, keys: list[str], rate_deg: str) -> DataFrame:
     """Centre of the half-degree bin where the count first passes half the samples."""
     bins = samples.groupBy(*keys, rate_bin(F.col(rate_deg)).alias("bin")).agg(F.count(F.lit(1)).alias("_n"))
-    line = Timeline.measure(bins, keys, "bin")
+    line = Timeline(tuple(keys), "bin")  # at most RATE_BINS rows per key
     summed = line.running(bins, {"_upto": ("sum", F.col("_n"))})
     totals = bins.groupBy(*keys).agg(F.sum("_n").alias("_all"))
     passed = summed.join(totals, keys).filter(F.col("_upto") > F.floor(F.col("_all") / 2))

@@ -114,7 +114,30 @@ def knn_mean_sq_dist(
     found_schema = f"{scene} {kind}, _pid long, _r2 double, _d array<double>, _n array<long>"
     mine = settle(laid.groupBy(scene, "_block").applyInPandas(local, found_schema))
 
-    # a ball can only reach points in the cells it overlaps at its own level
+    several = laid.filter(F.col("_block") > 0).limit(1).count() > 0
+    theirs = _ask_others(laid, mine, found_schema, scene, k) if several else None
+    whole = mine.unionByName(theirs) if several else mine
+    each = whole.groupBy(scene, "_pid").agg(F.array_sort(F.flatten(F.collect_list(F.arrays_zip("_d", "_n")))).alias("_near"))
+    # walk outwards until enough neighbours are counted; copies of the point come first
+    take = F.least(F.lit(k).cast("long"), F.col("_all") - 1)
+    start = F.struct(F.least(take, F.col("_w") - 1).alias("got"), F.lit(0.0).alias("sum"))
+
+    def step(state: Column, item: Column) -> Column:
+        add = F.least(take - state["got"], item["_n"])
+        return F.struct(
+            (state["got"] + add).alias("got"),
+            (state["sum"] + F.when(add > 0, add * item["_d"]).otherwise(F.lit(0.0))).alias("sum"),
+        )
+
+    summed = laid.join(each, [scene, "_pid"]).withColumn("_s", F.aggregate("_near", start, step, lambda s: s["sum"]))
+    mean = F.greatest(F.coalesce(F.try_divide(F.col("_s"), take), F.lit(0.0)), F.lit(MIN_SQ_DIST))
+    answers = summed.select(scene, *xyz, mean.alias("mean_sq_dist"))
+    return data.join(answers, [scene, *xyz]).select(scene, row_id, "mean_sq_dist")
+
+
+def _ask_others(laid: DataFrame, mine: DataFrame, found_schema: str, scene: str, k: int) -> DataFrame:
+    """Neighbours found in other blocks: a ball can only reach points in the cells it overlaps."""
+    xyz = ["x", "y", "z"]
     asks = _fresh(laid).join(mine.select(scene, "_pid", "_r2"), [scene, "_pid"])
     reach = F.sqrt(F.col("_r2")) * (1 + 1e-9) + F.col("_side") * 1e-12
     level = F.greatest(F.lit(0.0), F.least(F.lit(float(LEVELS)), F.floor(F.log2(F.col("_side") / (2 * reach)))))
@@ -158,7 +181,7 @@ def knn_mean_sq_dist(
 
     # blocks nobody asks never reach Python
     asked = pairs.select(scene, "_block").distinct()
-    theirs = (
+    return (
         pairs.groupBy(scene, "_block")
         .cogroup(
             _fresh(laid)
@@ -168,26 +191,6 @@ def knn_mean_sq_dist(
         )
         .applyInPandas(remote, found_schema)
     )
-    each = mine.unionByName(theirs).groupBy(scene, "_pid").agg(
-        F.array_sort(F.flatten(F.collect_list(F.arrays_zip("_d", "_n")))).alias("_near")
-    )
-    # walk outwards until enough neighbours are counted; copies of the point come first
-    take = F.least(F.lit(k).cast("long"), F.col("_all") - 1)
-    start = F.struct(F.least(take, F.col("_w") - 1).alias("got"), F.lit(0.0).alias("sum"))
-
-    def step(state: Column, item: Column) -> Column:
-        add = F.least(take - state["got"], item["_n"])
-        return F.struct(
-            (state["got"] + add).alias("got"),
-            (state["sum"] + F.when(add > 0, add * item["_d"]).otherwise(F.lit(0.0))).alias("sum"),
-        )
-
-    summed = _fresh(laid).join(each, [scene, "_pid"]).withColumn(
-        "_s", F.aggregate("_near", start, step, lambda s: s["sum"])
-    )
-    mean = F.greatest(F.coalesce(F.try_divide(F.col("_s"), take), F.lit(0.0)), F.lit(MIN_SQ_DIST))
-    answers = summed.select(scene, *xyz, mean.alias("mean_sq_dist"))
-    return data.join(answers, [scene, *xyz]).select(scene, row_id, "mean_sq_dist")
 
 
 def init_log_scales(spacing: DataFrame, max_scale: float | None = None) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rushlight.plans.quantiles import exact_percentiles
+from rushlight.plans.sizing import fits_one_task
 
 # Normal-consistency factor, standard gravity and its tolerances.
 MAD_TO_SIGMA = 1.4826
@@ -14,11 +15,14 @@ GRAVITY_TOLERANCE = 1.0
 STATIONARY_TOLERANCE = 1.5
 
 
-def median_and_mad(df: DataFrame, keys: list[str], value: str, limit: int | None = None) -> DataFrame:
+def median_and_mad(
+    df: DataFrame, keys: list[str], value: str, limit: int | None = None, fits: bool | None = None
+) -> DataFrame:
     """Per key: ``median`` and ``mad`` (median absolute deviation), exact."""
-    middle = exact_percentiles(df, keys, {"median": (value, 0.5)}, limit)
+    fits = fits_one_task(df, keys, limit) if fits is None else fits
+    middle = exact_percentiles(df, keys, {"median": (value, 0.5)}, limit, fits)
     apart = df.join(middle, keys).withColumn("_apart", F.abs(F.col(value) - F.col("median")))
-    return middle.join(exact_percentiles(apart, keys, {"mad": ("_apart", 0.5)}, limit), keys)
+    return middle.join(exact_percentiles(apart, keys, {"mad": ("_apart", 0.5)}, limit, fits), keys)
 
 
 def robust_sigma(df: DataFrame, keys: list[str], value: str, limit: int | None = None) -> DataFrame:

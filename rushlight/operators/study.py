@@ -60,7 +60,7 @@ def spearman(
     # read several times below: written once, so the runs behind it are not recomputed
     finite = settle(pairs.filter(is_finite(F.col("x")) & is_finite(F.col("y"))).select(signal, row_id, "x", "y"))
     whole = fits_one_task(finite, [signal])  # a signal fits, so each of its permutations fits too
-    ranked = average_rank(average_rank(finite, [signal], "x", "rx"), [signal], "y", "ry").select(
+    ranked = average_rank(average_rank(finite, [signal], "x", "rx", fits=whole or None), [signal], "y", "ry", fits=whole or None).select(
         signal, row_id, "rx", "ry"
     )
     x, y = F.col("rx"), F.col("ry")

@@ -82,10 +82,10 @@ def _share(test: Column) -> Column:
 
 
 def telemetry_report(
-    signals: DataFrame, capture: str = "capture_id", blur_threshold: float = BLURRY_BELOW, limit: int | None = None
+    signals: DataFrame, capture: str = "capture_id", blur_threshold: float = BLURRY_BELOW, line: Timeline | None = None
 ) -> DataFrame:
     """One row per capture over ``blur_vol, blur_relative, brightness, overexposed_ratio,
-    underexposed_ratio, motion_diff, hist_correlation``."""
+    underexposed_ratio, motion_diff, hist_correlation``. A measured ``line`` spares a size check."""
     c = F.col
     duplicate = (c("hist_correlation") > DUPLICATE_CORRELATION) & (
         F.coalesce(c("motion_diff"), F.lit(0.0)) < DUPLICATE_MAX_DIFF
@@ -106,7 +106,7 @@ def telemetry_report(
         (F.count(F.when(duplicate, 1)) / F.greatest(F.lit(1), F.count(F.lit(1)) - 1)).alias("duplicate_ratio"),
     )
     spread = exact_percentiles(
-        signals, [capture], {"vol_p10": ("blur_vol", 0.1), "vol_median": ("blur_vol", 0.5)}, limit
+        signals, [capture], {"vol_p10": ("blur_vol", 0.1), "vol_median": ("blur_vol", 0.5)}, fits=line.fits if line else None
     )
     return shares.join(spread, capture)
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,28 +35,36 @@ def fits_one_task(df: DataFrame, keys: list[str], limit: int | None = None) -> b
 
 
 def small(df: DataFrame, limit: int | None = None) -> DataFrame:
-    """Broadcast ``df`` when it is counted to be small; otherwise leave the join to shuffle."""
+    """Broadcast ``df`` when it is counted to be small; otherwise leave the join to shuffle.
+
+    The table is written first, so counting it does not compute it a second time.
+    """
     limit = limit or broadcast_rows(df.sparkSession)
-    counted = df.limit(limit + 1).count()
-    return F.broadcast(df) if counted <= limit else df
+    written = settle(df)
+    return F.broadcast(written) if written.count() <= limit else written
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder the cluster names in ``spark.checkpoint.dir``.
+
+    Only a local session without that setting (tests) gets a folder of its own.
+    """
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if folder:
+        return folder
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
+    spark.conf.set("spark.checkpoint.dir", tempfile.mkdtemp(prefix="spark-"))
+    return spark.conf.get("spark.checkpoint.dir")
 
 
 def settle(df: DataFrame) -> DataFrame:
-    """Cut lineage with a reliable checkpoint in the folder the cluster names.
+    """Cut lineage: write the table to the shared folder and read it back.
 
-    The folder comes from ``spark.checkpoint.dir``. Only a local session with no such setting
-    (tests) gets a folder of its own.
+    Columnar files keep pruning and give the planner real sizes; nothing is lost with an executor.
     """
     spark = df.sparkSession
-    sc = spark.sparkContext
-    folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-    if folder:
-        if sc.getCheckpointDir() is None:
-            sc.setCheckpointDir(folder)
-    elif sc.getCheckpointDir() is None:
-        if not sc.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-        import tempfile
-
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
-    return df.checkpoint(eager=True)
+    path = f"{shared_folder(spark)}/rushlight-{uuid.uuid4().hex}"
+    schema = df.schema
+    df.write.parquet(path)
+    return spark.read.schema(schema).parquet(path)

@@ -64,6 +64,11 @@ class Timeline:
             splits = sorted({float(v) for v in found})
         return cls(tuple(keys), axis, tuple(ties or ()), descending, tuple(splits), limit)
 
+    @property
+    def fits(self) -> bool:
+        """Every key was measured to fit one task."""
+        return not self.splits
+
     def tied(self, *ties: str) -> Timeline:
         """Same blocks with other tie breakers, for subsets and unions of the measured rows."""
         return replace(self, ties=ties)

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from rushlight.operators import catalog, integrity, joins, sampling, telemetry
 from rushlight.plans.timeline import Timeline
 from rushlight.queries.registry import query
-from rushlight.queries.telemetry import REPORT, relative
+from rushlight.queries.telemetry import REPORT, measured
+from rushlight.queries.telemetry import report as telemetry_rows
 from rushlight.queries.views import EVENTS, events, rounded
 from rushlight.session import table
 from rushlight.sources.sensors import last_per_frame
@@ -327,8 +328,8 @@ RUNS = (
 
 
 def runs(spark, folder):
-    frames = relative(spark, folder)
-    report = telemetry.telemetry_report(frames).select("capture_id", "vol_median")
+    frames, line = measured(spark, folder)
+    report = telemetry.telemetry_report(frames, line=line).select("capture_id", "vol_median")
     kept = frames.groupBy("capture_id").agg(
         F.count_if(F.col("hist_correlation") <= 0.99).alias("frames_used"), F.count(F.lit(1)).alias("frames_sampled")
     )
@@ -417,7 +418,7 @@ def flatten_signals(spark, folder):
     UNION ALL SELECT capture_id, 2, 1, 'fast' FROM report_v WHERE too_fast_ratio > 0.12""",
 )
 def merge_warnings(spark, folder):
-    report = telemetry.telemetry_report(relative(spark, folder))
+    report = telemetry_rows(spark, folder)
     parts = [
         report.filter(test).select("capture_id", F.lit(1).alias("position"), F.lit(text).alias("warning"))
         for test, text in (

@@ -54,9 +54,19 @@ scored AS (
 
 
 def relative(spark, folder):
+    return measured(spark, folder)[0]
+
+
+def measured(spark, folder):
+    """Frames with their relative blur, and the timeline they were measured with."""
     frames = signals(spark, folder)
     line = Timeline.measure(frames, ["capture_id"], "t", ["event_id"])
-    return telemetry.rolling_relative(frames, line, "blur_vol")
+    return telemetry.rolling_relative(frames, line, "blur_vol"), line
+
+
+def report(spark, folder):
+    frames, line = measured(spark, folder)
+    return telemetry.telemetry_report(frames, line=line)
 
 
 @query(
@@ -78,7 +88,7 @@ RATIOS = (
     f"WITH {REPORT} SELECT capture_id, frame_count, " + ", ".join(f"round({r}, 6) AS {r}" for r in RATIOS) + " FROM report_v",
 )
 def telemetry_report(spark, folder):
-    return rounded(telemetry.telemetry_report(relative(spark, folder)))
+    return rounded(report(spark, folder))
 
 
 @query(
@@ -91,7 +101,7 @@ def telemetry_report(spark, folder):
     FROM scored""",
 )
 def score_report(spark, folder):
-    scored = telemetry.score_report(telemetry.telemetry_report(relative(spark, folder)))
+    scored = telemetry.score_report(report(spark, folder))
     return scored.select("capture_id", "score", "status", F.size("warnings").alias("n_warnings"))
 
 
@@ -112,7 +122,7 @@ def score_report(spark, folder):
     FROM scored""",
 )
 def captures_at_risk(spark, folder):
-    scored = telemetry.score_report(telemetry.telemetry_report(relative(spark, folder)))
+    scored = telemetry.score_report(report(spark, folder))
     return rounded(
         scored.select(
             "capture_id", "frame_count", "score", "vol_median", "blurry_frame_ratio", "too_fast_ratio", "status",
