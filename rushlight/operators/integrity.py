@@ -140,9 +140,8 @@ def overlapping_phases(phases: DataFrame, captures: DataFrame, capture: str = "c
     return by_row.unionByName(unknown).unionByName(by_capture)
 
 
-# Optional metadata files of a pack, and the enums of its manifest.
+# Optional metadata files of a pack.
 OPTIONAL_METADATA = ("intrinsics", "poses", "imu", "light")
-LENS_FACING = ("back", "front", "external")
 
 
 def validate_manifest(packs: DataFrame, files: DataFrame, capture: str = "capture_id") -> DataFrame:
