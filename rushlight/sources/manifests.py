@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from rushlight.operators.catalog import flatten_signals
 from rushlight.sources.sensors import capture_from_path
 
-PACK_VERSION = "0.3"  # Fixed value.
+PACK_VERSION = "0.1"  # Fixed value.
 # Fixed formats: documents of a capture.
 MANIFEST_SCHEMA = (
     "_broken string, capturepack_version string, session_id string, session_name string, capture_type string, target_type string, created_at string, "
@@ -162,12 +162,18 @@ def manifest_for_video(videos: DataFrame, session: Column | None = None) -> Data
     body = F.struct(
         F.lit(PACK_VERSION).alias("capturepack_version"),
         (session if session is not None else F.uuid()).alias("session_id"),
-        F.lit("unknown").alias("capture_type"),
+        F.lit(None).cast("string").alias("session_name"),
+        F.lit("static_scene").alias("capture_type"),
+        F.lit("unknown").alias("target_type"),
         F.col("created_at").cast("string").alias("created_at"),
+        F.struct(
+            F.lit("unknown").alias("manufacturer"), F.lit("phone_video_import").alias("model"), F.lit("unknown").alias("os"), F.lit(PACK_VERSION).alias("app_version")
+        ).alias("device"),
         F.struct("main_file", "duration_sec", "width", "height", "fps", "codec", "bitrate", "has_audio").alias("video"),
         F.struct(
-            unknown.alias("exposure_locked"), unknown.alias("white_balance_locked"), unknown.alias("focus_locked")
+            unknown.alias("exposure_locked"), unknown.alias("white_balance_locked"), unknown.alias("focus_locked"),
+            F.lit("unknown").alias("storage_mode"),
         ).alias("capture_settings"),
-        F.create_map(*[v for k in ("intrinsics", "poses", "imu", "light") for v in (F.lit(k), F.lit(None).cast("string"))]).alias("metadata_files"),
+        F.create_map(*[v for k in ("intrinsics", "poses", "imu", "light", "audio") for v in (F.lit(k), F.lit(None).cast("string"))]).alias("metadata_files"),
     )
     return videos.select("capture_id", F.to_json(body, {"ignoreNullFields": "false"}).alias("document"))
