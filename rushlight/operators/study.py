@@ -57,10 +57,14 @@ def spearman(
     same on every run and any cluster size. A permutation changes only the cross product, which
     is summed per (signal, permutation) before it is shuffled.
     """
-    # read several times below: written once, so the runs behind it are not recomputed
-    finite = settle(pairs.filter(is_finite(F.col("x")) & is_finite(F.col("y"))).select(signal, row_id, "x", "y"))
+    finite = pairs.filter(is_finite(F.col("x")) & is_finite(F.col("y")))
+    if permutations:
+        # read several times below: written once, so the runs behind it are not recomputed
+        finite = settle(finite.select(signal, row_id, "x", "y"))
+    else:
+        finite = finite.select(signal, F.lit(0).alias(row_id), "x", "y")
     whole = fits_one_task(finite, [signal])  # a signal fits, so each of its permutations fits too
-    ranked = average_rank(average_rank(finite, [signal], "x", "rx", fits=whole or None), [signal], "y", "ry", fits=whole or None).select(
+    ranked = average_rank(average_rank(finite, [signal], "x", "rx", fits=whole), [signal], "y", "ry", fits=whole).select(
         signal, row_id, "rx", "ry"
     )
     x, y = F.col("rx"), F.col("ry")
@@ -89,10 +93,12 @@ def spearman(
             row_id,
         )
         word = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("perm").cast("string"), F.col(row_id).cast("string")))
-        thrown = thrown.withColumn("_md5", word).withColumn(
-            "_place", F.conv(F.substring("_md5", 1, 15), 16, 10).cast("long")
+        # two 60-bit numbers sort like the hexadecimal text and are cheaper to carry
+        places = [F.conv(F.substring("_md5", at, 15), 16, 10).cast("long") for at in (1, 16)]
+        thrown = thrown.withColumn("_md5", word).select(
+            signal, "perm", "ry", places[0].alias("_place"), places[1].alias("_then")
         )
-        shuffled = line(thrown, [signal, "perm"], "_place", ["_md5"]).number(thrown, "pos")
+        shuffled = line(thrown, [signal, "perm"], "_place", ["_then"]).number(thrown, "pos")
         null = (
             shuffled.select(signal, "perm", "pos", "ry")
             .join(placed.select(signal, "pos", "rx"), [signal, "pos"])

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rushlight.plans.sizing import key_sizes, rows_per_task
@@ -107,9 +107,15 @@ def average_rank(
 ) -> DataFrame:
     """Rank every row within its key; tied values share the mean of their ranks.
 
-    Equal values are counted before any shuffle, so a value that fills a third of the table
-    costs one row per task in the ranking.
+    While every key fits one task, one sort gives both the first rank of a value and the count up
+    to it. Beyond that equal values are counted before any shuffle, so a value that fills a third
+    of the table costs one row per task in the ranking.
     """
+    limit = limit or rows_per_task(df.sparkSession)
+    if key_sizes(df, keys)[0] <= limit if fits is None else fits:
+        ordered = Window.partitionBy(*keys).orderBy(column)
+        upto = ordered.rangeBetween(Window.unboundedPreceding, Window.currentRow)
+        return df.withColumn(name, (F.rank().over(ordered) + F.count(F.lit(1)).over(upto)) / 2.0)
     ranks = value_ranks(df, keys, column, limit, fits).select(
         *keys, F.col(column), F.col("rank").alias(name)
     )

@@ -65,14 +65,14 @@ def lock_events(spark, folder):
 @query(
     "str5_live_rate_replay",
     f"""WITH {EVENTS}, r AS (SELECT event_id, capture_id, t, avg(value) OVER (PARTITION BY capture_id ORDER BY t, event_id ROWS BETWEEN 31 PRECEDING AND CURRENT ROW) AS r, k FROM events_v)
-    SELECT capture_id, t AS t_ns, round(r, 9) AS angular_rate, CASE WHEN k > 0 THEN round(abs(r) * (k / 7000.0) * 1300.0, 6) ELSE 0.0 END AS blur_px FROM r""",
+    SELECT capture_id, t AS t_ns, round(r, 9) AS angular_rate, CASE WHEN k > 0 THEN round(abs(r) * (k / 1000.0) * 1300.0, 9) ELSE 0.0 END AS blur_px FROM r""",
 )
 def live_rate(spark, folder):
     rows = events(spark, folder).select(
-        "capture_id", "event_id", F.col("t").alias("t_ns"), F.col("value").alias("speed"), (F.col("k") / 7000.0).alias("exposure_s"), F.lit(1300.0).alias("focal_px")
+        "capture_id", "event_id", F.col("t").alias("t_ns"), F.col("value").alias("speed"), (F.col("k") / 1000.0).alias("exposure_s"), F.lit(1300.0).alias("focal_px")
     )
     made = live.replay(rows, "rate", ["event_id"])
-    return made.select("capture_id", "t_ns", F.round("angular_rate", 9).alias("angular_rate"), F.round("blur_px", 6).alias("blur_px"))
+    return made.select("capture_id", "t_ns", F.round("angular_rate", 9).alias("angular_rate"), F.round("blur_px", 9).alias("blur_px"))
 
 
 @query("str6_online_selection_replay")
