@@ -140,8 +140,10 @@ def _ask_others(laid: DataFrame, mine: DataFrame, found_schema: str, scene: str,
     xyz = ["x", "y", "z"]
     asks = _fresh(laid).join(mine.select(scene, "_pid", "_r2"), [scene, "_pid"])
     reach = F.sqrt(F.col("_r2")) * (1 + 1e-9) + F.col("_side") * 1e-12
-    level = F.greatest(F.lit(0.0), F.least(F.lit(float(LEVELS)), F.floor(F.log2(F.col("_side") / (2 * reach)))))
-    asks = asks.filter(F.col("_r2") > 0).withColumn("_reach", reach).withColumn("_level", F.coalesce(level, F.lit(0)).cast("int"))
+    # an unbounded ball has no level of its own and looks at the whole scene
+    own = F.coalesce(F.floor(F.log2(F.col("_side") / (2 * reach))), F.lit(0))
+    level = F.greatest(F.lit(0), F.least(F.lit(LEVELS), own))
+    asks = asks.filter(F.col("_r2") > 0).withColumn("_reach", reach).withColumn("_level", level.cast("int"))
     shift = F.lit(1).cast("long") * F.pow(F.lit(2.0), F.lit(LEVELS) - F.col("_level")).cast("long")
 
     def cell(index: Column) -> Column:
