@@ -255,3 +255,37 @@ def results_csv(spark, folder):
     manifests.write_results(rows, place, "r1")
     manifests.write_results(rows, place, "r1")  # running again replaces the run
     return spark.read.option("header", True).csv(f"{place}/csv").select("name", "frames_used")
+
+
+TRAINED = {n: i + 1 for i, n in enumerate("x y z opacity scale_0 scale_1 scale_2".split())}
+
+
+@query(
+    "src10_read_splat_table",
+    f"""WITH {vectors_sql(TRAINED)} SELECT round(x, 6) AS x, round(opacity, 6) AS opacity, round(scale_2, 6) AS scale_2, 1 AS sh_bands FROM vectors_v""",
+)
+def read_splat_table(spark, folder):
+    """Vertex files made from the vectors, one per partition, read back through the data source."""
+    from rushlight.plans.sizing import shared_folder
+    import uuid
+
+    place = f"{shared_folder(spark)}/splats-{uuid.uuid4().hex}"
+    names = [*TRAINED, "f_rest_0"]
+
+    def save(batches):
+        import numpy as np
+        import pandas as pd
+        from pyspark import TaskContext
+
+        # one file per Arrow batch, written through the shared folder's own file system
+        for number, batch in enumerate(batches):
+            rows = batch[names].to_numpy("<f4")
+            head = ["ply", "format binary_little_endian 1.0", f"element vertex {len(rows)}", *(f"property float {n}" for n in names), "end_header"]
+            system, inner = splats._open(place)
+            system.create_dir(inner, recursive=True)
+            with system.open_output_stream(f"{inner}/part-{TaskContext.get().partitionId():05d}-{number:05d}.ply") as out:
+                out.write(("\n".join(head) + "\n").encode() + np.ascontiguousarray(rows).tobytes())
+            yield pd.DataFrame({"rows": [len(rows)]})
+
+    vectors(spark, folder, TRAINED).withColumn("f_rest_0", F.lit(0.0)).mapInPandas(save, "rows long").agg(F.sum("rows")).collect()
+    return rounded(splats.read_splat_table(spark, place, rows_per_partition=100).select("x", "opacity", "scale_2", "sh_bands"))
