@@ -11,6 +11,11 @@ from rushlight.session import table
 from rushlight.sources import manifests, models, sensors, splats
 
 
+def chunked(rows):
+    """Groups for documents of at most 64 rows, however many a capture has."""
+    return rows.groupBy("capture_id", F.floor(F.col("event_id") / 64).alias("chunk"))
+
+
 def imu_lines(spark, folder):
     """Sensor log lines: clicks and purchases are whole, views another sensor, the rest broken."""
     kind = F.col("event_type")
@@ -46,7 +51,7 @@ def read_frame_index(spark, folder):
         F.col("event_id").alias("index"), (F.col("k") / 30.0).alias("timestamp_sec"), F.col("value").alias("blur_vol"),
         (F.col("event_type") != "error").alias("used"), F.when(F.col("event_type") != "error", F.concat(F.col("event_id").cast("string"), F.lit(".jpg"))).alias("file"),
     )
-    documents = events(spark, folder).groupBy("capture_id").agg(F.collect_list(frame).alias("frames"))
+    documents = chunked(events(spark, folder)).agg(F.collect_list(frame).alias("frames"))
     text = F.to_json(F.struct(F.lit("video.mp4").alias("source_video"), F.lit(30.0).alias("source_fps"), "frames"))
     parsed = manifests.parse_frame_index(documents.select("capture_id", text.alias("document")))
     return parsed.select("capture_id", "source_fps", F.col("index").cast("long").alias("index"), "timestamp_sec", "blur_vol", "used", "file")
@@ -155,7 +160,7 @@ def motion_sidecar(spark, folder):
         F.col("k").alias("t_ms"),
         F.struct(F.col("value").alias("x"), F.col("k").alias("y"), F.lit(9.81).alias("z")).alias("accelerationIncludingGravity"),
     )
-    documents = events(spark, folder).groupBy("capture_id").agg(F.collect_list(sample).alias("samples"))
+    documents = chunked(events(spark, folder)).agg(F.collect_list(sample).alias("samples"))
     text = F.to_json(F.struct(F.lit("recording").alias("time_base"), "samples"))
     rows = sensors.motion_samples(documents.select("capture_id", text.alias("document")))
     return rows.select("capture_id", "t_ns", *[F.element_at("v", i + 1).alias(n) for i, n in enumerate(("ax", "ay", "az"))])
