@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rushlight.llm import chat, darts, exact, mixing, pieces, quality, toxicity, transducer
+from rushlight.llm import chat, darts, exact, linkgraph, mixing, pieces, quality, toxicity, transducer
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -77,6 +77,12 @@ def op6_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return darts.near_duplicates(table(spark, folder, "documents"))
 
 
+@query("op7_url_trust")
+def op7_url_trust(spark: SparkSession, folder: str) -> DataFrame:
+    judged = linkgraph.judge_urls(table(spark, folder, "pages").select("page_id", "url", "html"))
+    return judged.select("page_id", "host", "path", "rule", "verdict", "trust", "distrust")
+
+
 @query("op8_sentencepiece")
 def op8_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
