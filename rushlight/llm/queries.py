@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rushlight.llm import chat, darts, exact, linkgraph, mixing, pieces, quality, toxicity, transducer
+from rushlight.llm import blocks, chat, darts, exact, linkgraph, mixing, pieces, quality, toxicity, transducer
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -29,6 +29,11 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+@query("op1_main_text")
+def op1_main_text(spark: SparkSession, folder: str) -> DataFrame:
+    return blocks.extract_main_text(table(spark, folder, "pages")).select("page_id", "url", "text", "n_chars", "n_blocks")
+
+
 @query(
     "op2_exact_dedup",
     r"""
