@@ -25,11 +25,11 @@ class Rule:
 
 #: Shares per word, line or word character of a text.
 RULES = (
-    Rule("symbols", "n_symbols / n_words", (2.0, 1.5, 1.0, 0.75, 0.5, 0.4, 0.3, 0.25, 0.2)),
+    Rule("symbols", "n_symbols / greatest(n_words, 1)", (2.0, 1.5, 1.0, 0.75, 0.5, 0.4, 0.3, 0.25, 0.2)),
     Rule("duplicate_lines", "n_dup_lines / greatest(n_lines, 1)", (0.9, 0.8, 0.7, 0.6, 0.5, 0.4, 0.3)),
-    Rule("repeated_words", "n_repeat_words / n_words", (0.45, 0.4, 0.35, 0.3, 0.25, 0.2)),
+    Rule("repeated_words", "n_repeat_words / greatest(n_words, 1)", (0.45, 0.4, 0.35, 0.3, 0.25, 0.2)),
     Rule("capitals", "n_capitals / greatest(word_chars, 1)", (0.9, 0.8, 0.7, 0.6, 0.5, 0.4, 0.3)),
-    Rule("marks", "n_marks / n_words", (2.0, 1.5, 1.0, 0.75, 0.5)),
+    Rule("marks", "n_marks / greatest(n_words, 1)", (2.0, 1.5, 1.0, 0.75, 0.5)),
 )
 
 
