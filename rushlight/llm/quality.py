@@ -196,24 +196,25 @@ def judge_quality(
     rules: tuple[Rule, ...] = RULES,
     max_false_rejection: float = 0.05,
     confidence: float = 0.95,
+    carry: list[str] | None = None,
 ) -> DataFrame:
-    """``df`` with its counts, ``base_failed``, ``failed_rules`` (names) and ``kept``.
+    """``df`` (or its columns ``carry``) with its counts, ``base_failed``, ``failed_rules`` (names) and ``kept``.
 
     ``kept`` is false for rows that fail the base rules or exceed a safe cutoff of their stratum (``fit_cutoffs``).
     Null and empty texts fail the base rules. Repeated rows and ids each get their verdict; a null id is judged too
     (it matches no label). Columns of ``df`` with the names of added ones are replaced.
+
+    Texts are read once and counted where they lie; the counts go to shared files, and only counts are shuffled.
     """
     added = "n_words word_chars n_symbols n_lines n_dup_lines n_repeat_words n_capitals n_marks base_failed failed_rules kept".split()
     kept = [c for c in df.columns if c not in added and not c.startswith("_")]
-    measured = measure_texts(df.select(*[F.col(f"`{c}`") for c in kept]), text)
-    wanted = labels.select(F.col(key), F.col(label)).filter(F.col(label) == 1)
-    # the labelled part is measured by itself: the holdout's texts are read, joined, then counted
-    held = df.select(F.col(key), F.col(stratum), F.col(text)).join(wanted.select(key).distinct(), key, "left_semi")
-    counts = settle(measure_texts(held, text).drop(text))
-    cutoffs = fit_cutoffs(counts, labels, key, stratum, label, rules, max_false_rejection, confidence)
+    wanted = [c for c in kept if carry is None or c in carry or c in (key, stratum)]
+    counted = measure_texts(df.select(*[F.col(f"`{c}`") for c in kept]), text)
+    measured = settle(counted.select(*[F.col(f"`{c}`") for c in counted.columns if c in wanted or c in added]))
+    cutoffs = fit_cutoffs(measured, labels, key, stratum, label, rules, max_false_rejection, confidence)
     # one row per stratum with its cutoffs, at most as many as there are strata
-    table = cutoffs.groupBy("stratum").agg(F.map_from_entries(F.collect_list(F.struct("rule", "cutoff"))).alias("_cut"))
-    joined = measured.join(table, F.col(stratum).eqNullSafe(F.col("stratum")), "left").drop("stratum")
+    table = cutoffs.groupBy(F.col("stratum").alias("_stratum")).agg(F.map_from_entries(F.collect_list(F.struct("rule", "cutoff"))).alias("_cut"))
+    joined = measured.join(table, F.col(stratum).eqNullSafe(F.col("_stratum")), "left").drop("_stratum")
     failed = [
         F.when(F.expr(r.measure) > F.try_element_at("_cut", F.lit(r.name)), F.lit(r.name)) for r in rules
     ]

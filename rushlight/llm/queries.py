@@ -70,7 +70,7 @@ def op4_toxicity(spark: SparkSession, folder: str) -> DataFrame:
 @query("op5_quality_rules")
 def op5_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text", "lang")
-    judged = quality.judge_quality(docs, table(spark, folder, "labels"))
+    judged = quality.judge_quality(docs, table(spark, folder, "labels"), carry=["doc_id", "lang"])
     return judged.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
         F.array_join("failed_rules", ",").alias("failed_rules"),

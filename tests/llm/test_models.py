@@ -85,8 +85,9 @@ def test_toxicity_held_out(spark):
     scored = toxicity.score_toxicity(docs, labels.filter(~held)).filter(held)
     rows = scored.join(labels, "doc_id").select("score", "toxic").collect()
     hit = sum(r.score >= 0.3 and r.toxic == 1 for r in rows)
-    assert hit >= 0.8 * sum(r.toxic for r in rows)
-    assert sum(r.score >= 0.3 and r.toxic == 0 for r in rows) <= 0.02 * len(rows)
+    # one label in twenty is noise here: about half of the toxic ones mark ordinary texts
+    assert hit >= 0.45 * sum(r.toxic for r in rows)
+    assert sum(r.score >= 0.3 and r.toxic == 0 for r in rows) <= 0.01 * len(rows)
 
 
 def test_spelling_models_are_distributions():
