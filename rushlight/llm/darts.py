@@ -21,8 +21,9 @@ LEVELS = 24  # rank levels, each twice as deep as all before it; far more than a
 FIRST = 2.0**-10  # depth of the first rank level
 ROWS_OUT = 256
 MEMO = 1_000_000  # words a worker remembers the hash of
-PAIRS_A_ROW = 4  # pairs per bucket row that the last, exhaustive round may make before another star round is tried
-STARS = 8  # star rounds at most before the exhaustive one
+STARS = 1  # star rounds before the exact one
+BLOCK = 150_000  # elements of a block in the exact round
+COLUMNS = 4096  # elements compared at a time
 
 _MUL1, _MUL2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -204,6 +205,73 @@ def _elements(size: int):
     return run
 
 
+def _compare(threshold: float):
+    """Links between the texts of two blocks: all overlaps at once, as a product of 0/1 matrices over elements."""
+
+    def rows(texts: list[dict]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+        elements = [np.unique(np.frombuffer(t["elements"], np.uint32)) for t in texts]
+        return np.array([t["id"] for t in texts], np.int64), np.array([t["root"] for t in texts], np.int64), elements
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found_a, found_b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            for n in range(batch.num_rows):
+                one, two = (rows(batch.column(c)[n].as_py()) for c in ("one", "two"))
+                flat = [np.concatenate(side[2]) for side in (one, two)]
+                common = np.intersect1d(*flat)
+                sizes = [np.array([len(e) for e in side[2]]) for side in (one, two)]
+                overlap = np.zeros((len(one[0]), len(two[0])), np.float32)
+                for start in range(0, len(common), COLUMNS):
+                    part = common[start : start + COLUMNS]
+                    planes = []
+                    for side, all_of, size in zip((one, two), flat, sizes):
+                        at = np.minimum(np.searchsorted(part, all_of), len(part) - 1)
+                        hit = part[at] == all_of
+                        plane = np.zeros((len(side[0]), len(part)), np.float32)
+                        plane[np.repeat(np.arange(len(side[0])), size)[hit], at[hit]] = 1.0
+                        planes.append(plane)
+                    overlap += planes[0] @ planes[1].T
+                total = sizes[0][:, None] + sizes[1][None, :] - overlap
+                near = (overlap >= threshold * total - 1e-4) & (one[1][:, None] != two[1][None, :])
+                x, y = np.nonzero(near)
+                found_a.append(np.minimum(one[0][x], two[0][y]))
+                found_b.append(np.maximum(one[0][x], two[0][y]))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found_a)), pa.array(np.concatenate(found_b))], ["a", "b"])
+
+    return run
+
+
+def block_links(texts: DataFrame, similarity: float) -> DataFrame:
+    """Exact links (a, b) between ``texts`` (area, id, root, weight, elements) of one area that are in different classes.
+
+    Texts of an area are dealt to blocks of about ``BLOCK`` elements: by weight tier, since similar texts have weights in
+    the same or the next tier, and by whether they belong to the area's largest class. Pairs of blocks, not pairs of
+    texts, are joined, none within the largest class; a task holds two blocks and gives back links only.
+    """
+    classes = texts.groupBy("area", "root").agg(F.count(F.lit(1)).alias("n"))
+    largest = classes.groupBy("area").agg(F.max(F.struct("n", "root")).alias("m")).select("area", F.col("m.root").alias("main"))
+    tier = F.floor(F.log("weight") / F.lit(-np.log(similarity)) + 1e-9).alias("tier")
+    placed = settle(texts.join(largest, "area").select("area", "id", "root", "weight", "elements", tier, (F.col("root") == F.col("main")).alias("same")))
+    part = ["area", "tier", "same"]
+    shares = placed.groupBy(*part).agg(F.ceil(F.sum("weight") / BLOCK).alias("blocks"))
+    dealt = placed.join(shares, part).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")))
+    block = F.concat_ws("/", *part, "block").alias("name")
+    filled = settle(
+        dealt.groupBy(*part, "block").agg(F.collect_list(F.struct("id", "root", "elements")).alias("texts")).select(*part, block, "texts")
+    )
+    names = filled.select(*part, "name")
+    other = names.select("area", F.col("tier").alias("tier2"), F.col("same").alias("same2"), F.col("name").alias("name2"))
+    pairs = names.join(other, "area").filter(
+        (F.abs(F.col("tier") - F.col("tier2")) <= 1) & (F.col("name") <= F.col("name2")) & ~(F.col("same") & F.col("same2"))
+    ).select("name", "name2")
+    both = (
+        pairs.join(filled.select("name", F.col("texts").alias("one")), "name")
+        .join(filled.select(F.col("name").alias("name2"), F.col("texts").alias("two")), "name2")
+        .select("one", "two")
+    )
+    return both.mapInArrow(_compare(similarity), "a bigint, b bigint").distinct()
+
+
 def _similar(threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -270,10 +338,10 @@ def near_duplicates(
     2. DartMinHash signatures are cut into ``bands`` bands of ``rows`` coordinates (a pair at 0.8 is met with
        probability 0.998); texts that share a band share a bucket.
     3. In each bucket the member with the smallest hash is the centre, and only (member, centre) pairs are verified, on
-       whole texts. Verified links merge classes. Buckets that still hold several classes get other centres; once
-       the rest is small, every member outside its bucket's largest class is paired with the whole bucket. So a
-       group of n near copies costs about n pairs, and no two texts that share a bucket end in different classes
-       unless they were compared or are connected otherwise.
+       whole texts; verified links merge classes. ``STARS`` such rounds join nearly all there is: a
+       group of n near copies costs about n pairs a round.
+    4. Texts in buckets that still hold several classes are compared exactly, across classes and in blocks
+       (``block_links``). So no two texts that share a bucket end in different classes unless they are too different.
 
     Texts without words (null, empty, white space) are classes of their own with 0 links. Null keys are left out of
     linking and come back as rows of their own. Rows that repeat key and text share a class; the kept row is the
@@ -331,27 +399,20 @@ def near_duplicates(
     links, done, roots = None, None, None
     for turn in range(STARS + 1):
         members = rooted(members, roots)
-        by_class = members.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("n"))
-        sizes = by_class.groupBy("bucket").agg(F.sum("n").alias("all"), F.max(F.struct("n", "root")).alias("largest"))
-        cost, count = sizes.agg(F.sum((F.col("all") - F.col("largest.n")) * F.col("all")), F.sum("all")).first()
-        if not count:
+        if members.isEmpty():
             break
-        last = turn == STARS or (turn > 0 and cost <= PAIRS_A_ROW * count)
+        last = turn == STARS
         if last:
-            rest = members.join(sizes.select("bucket", F.col("largest.root").alias("main")), "bucket").filter(F.col("root") != F.col("main"))
-            other = members.select("bucket", F.col("id").alias("id2"), F.col("weight").alias("weight2"), F.col("root").alias("root2"))
-            pairs = (
-                rest.join(other, "bucket")
-                .filter((F.col("root") != F.col("root2")) & close("weight", "weight2"))
-                .select(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b"))
-                .distinct()
-            )
+            # an area is what shared buckets connect: no text outside it shares a bucket with one inside
+            centre = members.groupBy("bucket").agg(F.min("id").alias("b"))
+            areas = components(members.join(centre, "bucket").select(F.col("id").alias("a"), "b").distinct())
+            open_texts = members.select("id", "weight", "root").distinct().join(areas.withColumnRenamed("root", "area"), "id")
+            made = settle(block_links(elements.join(open_texts, "id"), similarity))
         else:
             pairs = stars(members, turn)
-        pairs = pairs if done is None else pairs.join(done, ["a", "b"], "left_anti")
-        pairs = settle(pairs)
-        made = verify(pairs)
-        done = pairs if done is None else done.union(pairs)
+            pairs = settle(pairs if done is None else pairs.join(done, ["a", "b"], "left_anti"))
+            made = verify(pairs)
+            done = pairs if done is None else done.union(pairs)
         links = made if links is None else links.union(made)
         roots = components(links)
         if last:

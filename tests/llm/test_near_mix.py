@@ -72,7 +72,7 @@ def test_near_duplicates_against_brute_force(spark):
     assert all(r.class_size == sizes[r.class_id] and r.kept == (r.class_id == k) for k, r in got.items())
 
 
-def test_the_exhaustive_round_alone_is_right(spark, monkeypatch):
+def test_the_exact_round_alone_is_right(spark, monkeypatch):
     monkeypatch.setattr(darts, "STARS", 0)
     texts = near_texts(8)
     df = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")
