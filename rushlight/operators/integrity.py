@@ -43,7 +43,7 @@ def reconcile(
     parsed = parse_manifest_lines(lines, capture)
     bad = parsed.filter(F.col("digest").isNull()).select(
         capture, F.lit("warning").alias("level"), F.lit("unparseable_line").alias("code"),
-        F.substring("line", 1, 60).alias("path"),
+        F.col("line").alias("path"),  # the whole line
     )
     listed = parsed.filter(F.col("digest").isNotNull()).groupBy(capture, "path").agg(
         F.max("digest").alias("digest")
@@ -183,9 +183,11 @@ def validate_manifest(packs: DataFrame, files: DataFrame, capture: str = "captur
     return issue_rows(checked, [capture], rules)
 
 
-def validate_transforms(frames: DataFrame, images: DataFrame | None = None, capture: str = "capture_id") -> DataFrame:
+def validate_transforms(
+    frames: DataFrame, images: DataFrame | None = None, capture: str = "capture_id", captures: DataFrame | None = None
+) -> DataFrame:
     """Issues in posed frames: ``capture, frame, file_path, matrix array<array<double>>, fl_x,
-    has_top_level_intrinsics``."""
+    has_top_level_intrinsics``. With ``captures``, those without any frame are reported too."""
     c = F.col
     shaped = c("matrix").isNotNull() & (F.size("matrix") == 4) & F.forall("matrix", lambda r: F.size(r) == 4)
     bottom = F.element_at("matrix", 4) == F.array(*[F.lit(v) for v in (0.0, 0.0, 0.0, 1.0)])
@@ -196,6 +198,17 @@ def validate_transforms(frames: DataFrame, images: DataFrame | None = None, capt
         issue("error", "no_intrinsics", ~c("has_top_level_intrinsics") & c("fl_x").isNull(), "frame has no intrinsics"),
     ]
     found = issue_rows(frames, [capture, "frame"], rules)
+    if captures is not None:
+        bare = captures.select(capture).distinct().join(frames.select(capture).distinct(), capture, "left_anti")
+        found = found.unionByName(
+            bare.select(
+                capture,
+                F.lit(None).cast(frames.schema["frame"].dataType).alias("frame"),
+                F.lit("error").alias("level"),
+                F.lit("no_frames").alias("code"),
+                F.lit("no frames").alias("message"),
+            )
+        )
     if images is not None:
         lost = frames.filter(c("file_path").isNotNull()).join(
             images.select(capture, "file_path").distinct(), [capture, "file_path"], "left_anti"

@@ -7,7 +7,6 @@ clean-up sees a whole frame, one at a time.
 
 from __future__ import annotations
 
-from collections import deque
 from collections.abc import Iterator
 
 import numpy as np
@@ -78,13 +77,13 @@ def residual_counts(pieces: DataFrame, capture: str = "capture_id") -> DataFrame
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for key, rows in batch.groupby(capture, sort=False):
+            for key, rows in batch.groupby(capture, sort=False, dropna=False):
                 total = np.zeros(1021, dtype=np.int64)
                 for piece, back in zip(rows["piece"], rows["background"], strict=True):
                     apart = np.frombuffer(piece, np.uint8).astype(np.float64) - np.frombuffer(back, np.float32)
                     total += np.bincount(np.rint(apart * 2).astype(np.int64) + 510, minlength=1021)
                 seen = np.nonzero(total)[0]
-                yield pd.DataFrame({capture: key, "residual": (seen - 510) / 2.0, "n": total[seen]})
+                yield pd.DataFrame({capture: None if pd.isna(key) else key, "residual": (seen - 510) / 2.0, "n": total[seen]})
 
     counted = pieces.select(capture, "piece", "background").mapInPandas(count, f"{capture} {kind}, residual double, n long")
     return counted.groupBy(capture, "residual").agg(F.sum("n").alias("n"))
@@ -130,27 +129,41 @@ def _shifted_all(mask: np.ndarray, combine, border: int) -> np.ndarray:
 
 
 def _without_specks(mask: np.ndarray, least: int) -> np.ndarray:
-    """Drop 8-connected components smaller than ``least`` pixels."""
-    seen = np.zeros(mask.shape, dtype=bool)
-    out = mask.copy()
+    """Drop 8-connected components smaller than ``least`` pixels.
+
+    Rows are cut into runs of set pixels; runs of neighbouring rows that touch share a label, and labels sink to
+    the smallest of their component. All steps are on whole arrays of runs.
+    """
     high, wide = mask.shape
-    for y, x in zip(*np.nonzero(mask), strict=True):
-        if seen[y, x]:
-            continue
-        seen[y, x] = True
-        group, queue = [(y, x)], deque([(y, x)])
-        while queue:
-            cy, cx = queue.popleft()
-            for ny in range(max(cy - 1, 0), min(cy + 2, high)):
-                for nx in range(max(cx - 1, 0), min(cx + 2, wide)):
-                    if mask[ny, nx] and not seen[ny, nx]:
-                        seen[ny, nx] = True
-                        group.append((ny, nx))
-                        queue.append((ny, nx))
-        if len(group) < least:
-            for gy, gx in group:
-                out[gy, gx] = 0
-    return out
+    edges = np.diff(np.pad(mask.astype(bool), ((0, 0), (1, 1))).astype(np.int8), axis=1)
+    row, start = np.nonzero(edges == 1)
+    end = np.nonzero(edges == -1)[1]  # one past the last pixel; runs are in the order of rows and columns
+    if not len(row):
+        return mask.copy()
+    step = wide + 2
+    above = (row - 1) * step
+    first = np.searchsorted(row * step + end, above + start, side="left")
+    last = np.searchsorted(row * step + start, above + end, side="right")
+    count = np.maximum(last - first, 0)
+    lower = np.repeat(np.arange(len(row)), count)
+    upper = np.repeat(first, count) + np.arange(len(lower)) - np.repeat(np.cumsum(count) - count, count)
+    label = np.arange(len(row))
+    while True:
+        least_of = np.minimum(label[lower], label[upper])
+        sunk = label.copy()
+        np.minimum.at(sunk, label[lower], least_of)
+        np.minimum.at(sunk, label[upper], least_of)
+        sunk = sunk[sunk]
+        sunk = sunk[sunk[label]]
+        if (sunk == label).all():
+            break
+        label = sunk
+    size = np.bincount(label, end - start, minlength=len(row))
+    change = np.zeros((high, step), np.int32)
+    keep = size[label] >= least
+    np.add.at(change, (row[keep], start[keep]), 1)
+    np.add.at(change, (row[keep], end[keep]), -1)
+    return (np.cumsum(change, axis=1)[:, :wide] > 0).astype(mask.dtype)
 
 
 def _disc(radius: int) -> list[tuple[int, int]]:
@@ -167,14 +180,14 @@ def clean_plane(mask: np.ndarray) -> np.ndarray:
     kept = _without_specks(opened, least)
     if not kept.any():
         return kept
-    out = np.zeros_like(kept)
+    out = np.zeros(kept.shape, dtype=bool)
+    upto = np.concatenate([np.zeros((high, 1), np.int32), np.cumsum(kept, axis=1, dtype=np.int32)], axis=1)
+    column = np.arange(wide)
     for dy, half in _disc(radius):
-        rows = kept[max(0, -dy) : high - max(0, dy)]
-        for dx in range(-half, half + 1):
-            part = rows[:, max(0, -dx) : wide - max(0, dx)]
-            target = out[max(0, dy) : high + min(0, dy), max(0, dx) : wide + min(0, dx)]
-            np.maximum(target, part, out=target)
-    return out
+        # set where the brush row meets any pixel: a difference of running counts
+        met = upto[:, np.minimum(column + half + 1, wide)] > upto[:, np.maximum(column - half, 0)]
+        out[max(0, dy) : high + min(0, dy)] |= met[max(0, -dy) : high - max(0, dy)]
+    return out.astype(kept.dtype)
 
 
 def clean_masks(pieces: DataFrame, capture: str = "capture_id") -> DataFrame:
@@ -214,8 +227,9 @@ def union_mask(masks: DataFrame, capture: str = "capture_id", band_rows: int = B
     def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
-            for (key, band), rows in batch.groupby([capture, "band"], sort=False):
+            for (key, band), rows in batch.groupby([capture, "band"], sort=False, dropna=False):
                 joined = np.bitwise_or.reduce([np.frombuffer(p, np.uint8) for p in rows["piece"]])
+                key = None if pd.isna(key) else key
                 out.append((key, rows["height"].iloc[0], rows["width"].iloc[0], band, joined.tobytes()))
             yield pd.DataFrame(out, columns=columns)
 
@@ -223,7 +237,7 @@ def union_mask(masks: DataFrame, capture: str = "capture_id", band_rows: int = B
         current, held = None, None
         for batch in batches:
             for row in batch.itertuples(index=False):
-                key = (row[0], row[3])
+                key = (None if pd.isna(row[0]) else row[0], row[3])
                 piece = np.frombuffer(row[4], np.uint8)
                 if current is None or key != current[0]:
                     if current is not None:

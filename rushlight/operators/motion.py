@@ -138,7 +138,7 @@ def with_gravity(samples: DataFrame, line: Timeline) -> DataFrame:
     )
     turned = F.when(F.col("sensor") == "rotation", gravity_from_rotation(F.col("x"), F.col("y"), F.col("z"), w))
     both = both.withColumn("_rank", rank)
-    whole = line.tied("_rank").running(both, {"_turned": ("last", turned), "_low": ("last", low)})
+    whole = line.tied("_rank", *line.ties).running(both, {"_turned": ("last", turned), "_low": ("last", low)})
     return whole.select(
         *samples.columns,
         F.coalesce("_turned", "_low").alias("gravity"),
@@ -162,19 +162,26 @@ def yaw_samples(samples: DataFrame, line: Timeline, max_step: int = MAX_STEP_NS)
 
 
 def sweep(samples: DataFrame, line: Timeline, max_step: int = MAX_STEP_NS, target_deg: float = 60.0) -> DataFrame:
-    """Integrated yaw per capture: range, sides, return error, implied cone, median rate."""
+    """Integrated yaw per capture: range, sides, return error, implied cone, median rate.
+
+    Every capture has a row; one that never sweeps has swept nothing: zeros, and no rate.
+    """
     (capture,), t = line.keys, line.axis
     moving = yaw_samples(samples, line, max_step)
     turned = line.running(moving, {"heading": ("sum", F.col("yaw") * F.col("dt"))})
     whole = turned.groupBy(capture).agg(
         F.degrees(F.greatest(F.max("heading"), F.lit(0.0))).alias("left_deg"),
-        F.degrees(-F.least(F.min("heading"), F.lit(0.0))).alias("right_deg"),
+        F.degrees(F.greatest(-F.min("heading"), F.lit(0.0))).alias("right_deg"),
         F.abs(F.degrees(F.max_by("heading", t))).alias("return_error_deg"),
         ((F.max(t) - F.min(t)) / 1e9).alias("duration_sec"),
     )
     rates = sweep_rate_median(moving.withColumn("_rate", F.degrees("yaw")), [capture], "_rate")
     left, right, half = F.col("left_deg"), F.col("right_deg"), target_deg / 2
-    return whole.join(rates, capture).select(
+    nothing = {c: 0.0 for c in ("left_deg", "right_deg", "return_error_deg", "duration_sec", "median_rate")}
+    every = samples.select(capture).distinct().withColumnRenamed(capture, "_all")
+    whole = every.join(whole, F.col("_all").eqNullSafe(F.col(capture)), "left").drop(capture)
+    whole = whole.join(rates, F.col("_all").eqNullSafe(F.col(capture)), "left").drop(capture).withColumnRenamed("_all", capture)
+    return whole.fillna(nothing).select(
         capture,
         left,
         right,

@@ -26,7 +26,8 @@ def ordered_fold(
     def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         current, state = None, None
         for batch in batches:
-            for value, rows in batch.groupby(key, sort=False):
+            for value, rows in batch.groupby(key, sort=False, dropna=False):
+                value = None if pd.isna(value) else value  # a null key is a key of its own
                 if state is None or value != current:
                     current, state = value, start()
                 yield step(state, rows)

@@ -58,13 +58,27 @@ def shared_folder(spark: SparkSession) -> str:
     return spark.conf.get("spark.checkpoint.dir")
 
 
+_settled: dict[str, list[str]] = {}
+
+
 def settle(df: DataFrame) -> DataFrame:
     """Cut lineage: write the table to the shared folder and read it back.
 
     Columnar files keep pruning and give the planner real sizes; nothing is lost with an executor.
+    Results read these files, so they stay until ``release``.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/rushlight-{uuid.uuid4().hex}"
+    _settled.setdefault(spark.sparkContext.applicationId, []).append(path)
     schema = df.schema
     df.write.parquet(path)
     return spark.read.schema(schema).parquet(path)
+
+
+def release(spark: SparkSession) -> int:
+    """Delete every settled table of this application, once its results are written; returns how many."""
+    paths = _settled.pop(spark.sparkContext.applicationId, [])
+    for path in paths:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    return len(paths)

@@ -10,7 +10,7 @@ it needs over the block borders:
 * ``rolling``  blocks by row number, with the frame's border rows copied to the next block;
 * ``running``  local prefix combined with the totals of the earlier blocks.
 
-The per-block tables have at most ``MAX_BLOCKS`` rows per key.
+The per-block tables have one row per key and block: rows / ``block_rows`` of the whole table at most.
 """
 
 from __future__ import annotations
@@ -24,8 +24,6 @@ from pyspark.sql import functions as F
 
 from rushlight.plans.sizing import key_sizes, rows_per_task
 
-MAX_BLOCKS = 4096
-
 
 def axis_number(df: DataFrame, name: str) -> Column:
     """The order axis as a double, only used to place rows into blocks."""
@@ -58,7 +56,7 @@ class Timeline:
         biggest, total = key_sizes(df, keys)
         splits: list[float] = []
         if biggest > limit:
-            blocks = min(MAX_BLOCKS, -(-total // limit))
+            blocks = -(-total // limit)
             cuts = [i / blocks for i in range(1, blocks)]
             found = df.select(axis_number(df, axis).alias("x")).approxQuantile("x", cuts, 0.25 / blocks)
             splits = sorted({float(v) for v in found})

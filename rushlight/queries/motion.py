@@ -210,11 +210,13 @@ STEP_NS = 172_800_000_000_000
     upto AS (SELECT *, sum(n) OVER (PARTITION BY capture_id ORDER BY bin) AS u, sum(n) OVER (PARTITION BY capture_id) AS a FROM bins),
     med AS (SELECT capture_id, (min(bin) + 0.5) * 0.5 AS median_rate_deg_s FROM upto WHERE u > a // 2 GROUP BY 1),
     w AS (SELECT capture_id, degrees(greatest(max(heading), 0)) AS l, degrees(-least(min(heading), 0)) AS r,
-      abs(degrees(arg_max(heading, t_ns))) AS e, (max(t_ns) - min(t_ns)) / 1e9 AS d FROM m GROUP BY 1)
+      abs(degrees(arg_max(heading, t_ns))) AS e, (max(t_ns) - min(t_ns)) / 1e9 AS d FROM m GROUP BY 1),
+    z AS (SELECT capture_id, coalesce(l, 0.0) AS l, coalesce(r, 0.0) AS r, coalesce(e, 0.0) AS e, coalesce(d, 0.0) AS d, coalesce(median_rate_deg_s, 0.0) AS median_rate_deg_s
+      FROM (SELECT DISTINCT capture_id FROM sensors_v) LEFT JOIN w USING (capture_id) LEFT JOIN med USING (capture_id))
     SELECT capture_id, round(l, 3) AS left_deg, round(r, 3) AS right_deg, round(l + r, 3) AS swept_deg, round(e, 3) AS return_error_deg,
       round(least(l, r) * 0.8, 3) AS implied_cone_deg, round(d, 3) AS duration_sec, median_rate_deg_s,
       CASE WHEN l < 30 AND l <= r THEN -1 WHEN r < 30 THEN 1 ELSE 0 END AS suggested_direction
-    FROM w JOIN med USING (capture_id)""",
+    FROM z""",
 )
 def sweep(spark, folder):
     rows = sensors(spark, folder)

@@ -39,7 +39,8 @@ def validate_manifest(spark, folder):
     UNION ALL SELECT capture_id, frame, 'error', 'no_matrix' FROM f WHERE NOT shaped
     UNION ALL SELECT capture_id, frame, 'warning', 'bottom_row' FROM f WHERE shaped AND NOT bottom
     UNION ALL SELECT capture_id, frame, 'error', 'no_intrinsics' FROM f WHERE NOT lens
-    UNION ALL SELECT capture_id, NULL, 'error', 'missing_images' FROM lost""",
+    UNION ALL SELECT capture_id, NULL, 'error', 'missing_images' FROM lost
+    UNION ALL SELECT n_nationkey, NULL, 'error', 'no_frames' FROM nation WHERE n_nationkey NOT IN (SELECT capture_id FROM f)""",
 )
 def validate_transforms(spark, folder):
     e = table(spark, folder, "embeddings")
@@ -52,7 +53,8 @@ def validate_transforms(spark, folder):
         matrix.alias("matrix"), F.when(F.element_at("embedding", 4) > 0, 500.0).alias("fl_x"), F.lit(False).alias("has_top_level_intrinsics"),
     )
     images = e.filter("vec_id % 5 <> 0").select(F.col("label").alias("capture_id"), path.alias("file_path"))
-    return integrity.validate_transforms(frames, images).drop("message")
+    captures = table(spark, folder, "nation").select(F.col("n_nationkey").cast("int").alias("capture_id"))
+    return integrity.validate_transforms(frames, images, captures=captures).drop("message")
 
 
 @query(

@@ -80,16 +80,34 @@ def read_frame_index(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_results(spark: SparkSession, path: str) -> DataFrame:
-    """Run results as JSON lines; blank lines are skipped, a missing path is an error."""
-    return spark.read.schema(RESULT_SCHEMA).json(path).filter(F.col("name").isNotNull())
+    """Run results as JSON lines; blank lines are skipped, a missing path is an error.
+
+    Fields outside the schema are kept as text in the map ``extras``. A line that does not parse, or names no run, is a
+    row of its own with the whole line in ``broken``.
+    """
+    lines = spark.read.text(path).filter(F.trim("value") != "")
+    parsed = lines.withColumn("_r", F.from_json("value", RESULT_SCHEMA)).withColumn("_all", F.from_json("value", "map<string,string>"))
+    fields = [f.split()[0] for f in RESULT_SCHEMA.split(", ")]
+    extras = F.map_filter("_all", lambda k, v: ~k.isin(*fields) & v.isNotNull())
+    return parsed.select(
+        *[F.col(f"_r.{f}").alias(f) for f in fields],
+        extras.alias("extras"),
+        F.when(F.col("_r.name").isNull(), F.col("value")).alias("broken"),
+        *[c for c in lines.columns if c != "value"],
+    )
 
 
 def write_results(rows: DataFrame, folder: str, run_id: str, config: dict | None = None) -> None:
     """Write one run's rows as JSON lines and CSV under ``run_id=``; running again replaces the run.
 
-    Map columns are flattened first. The pinned settings lie beside the rows.
+    Map columns are flattened first; signals outside the usual names stay together in the text column
+    ``more_signals``. The pinned settings lie beside the rows.
     """
-    flat = flatten_signals(rows, list(SIGNAL_NAMES)) if "signals" in rows.columns else rows
+    flat = rows
+    if "signals" in rows.columns:
+        more = F.map_filter("signals", lambda k, _: ~k.isin(*SIGNAL_NAMES))
+        kept = rows.withColumn("more_signals", F.when(F.size(more) > 0, F.to_json(more)))
+        flat = flatten_signals(kept, list(SIGNAL_NAMES))
     flat.write.mode("overwrite").json(f"{folder}/jsonl/run_id={run_id}")
     flat.write.mode("overwrite").option("header", True).csv(f"{folder}/csv/run_id={run_id}")
     if config is not None:
@@ -152,6 +170,12 @@ def inventory_of_rows(rows: DataFrame, capture: str, path: str, content: str) ->
     )
 
 
+def session_of(capture: str) -> Column:
+    """A session id in the usual shape that depends on the capture alone, so a task that runs again gives the same."""
+    digest = F.md5(F.concat(F.lit("session:"), F.col(capture).cast("string")))
+    return F.concat_ws("-", *[F.substring(digest, at, size) for at, size in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))])
+
+
 def manifest_for_video(videos: DataFrame, session: Column | None = None) -> DataFrame:
     """Minimal manifests for bare videos: what is not known is NULL, never a default.
 
@@ -161,7 +185,7 @@ def manifest_for_video(videos: DataFrame, session: Column | None = None) -> Data
     unknown = F.lit(None).cast("boolean")
     body = F.struct(
         F.lit(PACK_VERSION).alias("capturepack_version"),
-        (session if session is not None else F.uuid()).alias("session_id"),
+        (session if session is not None else session_of("capture_id")).alias("session_id"),
         F.lit(None).cast("string").alias("session_name"),
         F.lit("static_scene").alias("capture_type"),
         F.lit("unknown").alias("target_type"),

@@ -6,6 +6,7 @@ import pickle
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -109,10 +110,18 @@ def ingest(stream: DataFrame, validate: Callable[[DataFrame], DataFrame], table:
     """Append every new capture and its issues once.
 
     Batches are written under their batch id, replacing what an interrupted attempt left, so a
-    restart repeats nothing.
+    restart repeats nothing. A session that any earlier batch has is left out, however long ago
+    that was; the watermark only bounds what one run keeps in its state.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
+        session = batch.sparkSession
+        try:
+            known = session.read.parquet(f"{table}/captures").filter(F.col("batch_id") != batch_id).select("session_key")
+        except AnalysisException:  # nothing written yet
+            known = None
+        if known is not None:
+            batch = batch.join(known.distinct(), "session_key", "left_anti").select(*batch.columns)
         batch.write.mode("overwrite").parquet(f"{table}/captures/batch_id={batch_id}")
         saved = batch.sparkSession.read.parquet(f"{table}/captures/batch_id={batch_id}")
         validate(saved).write.mode("overwrite").parquet(f"{table}/issues/batch_id={batch_id}")
