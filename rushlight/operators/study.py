@@ -260,6 +260,24 @@ def study_correlations(
     return found.withColumn("meets_target", F.abs("rho") >= TARGET_RHO).orderBy(F.abs("rho").desc(), "signal")
 
 
+def failure_model(rows: DataFrame, signals: list[str], l2: float = 1.0) -> DataFrame:
+    """Penalised logit of failure (1: the pose stage ran and did not register) on all signals that vary.
+
+    The terms of ``fit_logistic`` with ``meets_target``: whether the area under the curve reaches its pre-registered
+    target. Runs without a pose stage say nothing about failure and are left out; with one class the
+    note says so and nothing meets a target. Signals that do not vary have no term.
+    """
+    posed = rows.filter(F.coalesce(~F.col("pose_status").isin(*NO_POSE), F.lit(True)))
+    failed = posed.withColumn("failed", F.when(F.coalesce("registered", F.lit(False)), 0).otherwise(1))
+    kinds = dict(rows.dtypes)
+    bounds = failed.agg(
+        *[f(F.when(is_finite(as_number(c, kinds[c])), as_number(c, kinds[c]))).alias(f"{n}_{c}") for c in signals for n, f in (("lo", F.min), ("hi", F.max))]
+    ).first()
+    varied = [c for c in signals if bounds[f"lo_{c}"] is not None and bounds[f"lo_{c}"] < bounds[f"hi_{c}"]]
+    fitted = fit_logistic(failed, varied, "failed", l2=l2)
+    return fitted.withColumn("meets_target", ~F.isnan("auc") & (F.col("auc") >= TARGET_AUC))
+
+
 def study_caveats(rows: DataFrame, outcome: str) -> DataFrame:
     """Caveat rows for a study: excluded runs, few captures, a single outcome class."""
     usable = usable_runs(rows, outcome)

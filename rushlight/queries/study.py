@@ -138,6 +138,11 @@ def study_rho(spark, folder):
     return rounded(found.select("signal", "rho", "n"), 9)
 
 
+@query("agg25_failure_model")
+def failure_model(spark, folder):
+    return rounded(study.failure_model(runs(spark, folder), ["frames_sampled", "frames_used", "vol_median"]))
+
+
 @query(
     "agg25_study_caveats",
     f"""WITH {RUNS}, t AS (SELECT count(*) AS total FROM runs_v),

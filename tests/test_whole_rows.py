@@ -3,7 +3,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from rushlight.operators import integrity, masks, motion
+from rushlight.operators import integrity, masks, motion, study
 from rushlight.plans import sizing
 from rushlight.plans.fold import ordered_fold
 from rushlight.plans.timeline import Timeline
@@ -102,3 +102,19 @@ def test_release_deletes_settled_tables(spark):
     finally:
         sizing._settled[spark.sparkContext.applicationId] = kept
 
+
+
+def test_failure_model_flags_its_area(spark):
+    rng = np.random.default_rng(4)
+    rows = [(i, "good" if i % 2 else "poor", bool(i % 2), float(rng.normal() + 2 * (i % 2)), 5.0) for i in range(60)] + [(99, "not_run", None, 0.0, 5.0)]
+    df = spark.createDataFrame(rows, "id int, pose_status string, registered boolean, sharp double, flat double")
+    got = {r.term: r for r in study.failure_model(df, ["sharp", "flat"]).collect()}
+    assert set(got) == {"intercept", "sharp"} and got["sharp"].coefficient < 0 and got["sharp"].n == 60 and got["sharp"].meets_target
+    sharp = np.array([r[3] for r in rows[:60]])
+    y = np.array([0.0 if r[2] else 1.0 for r in rows[:60]])
+    p = 1 / (1 + np.exp(-(got["intercept"].coefficient + got["sharp"].coefficient * sharp)))
+    # the score equations: residuals cancel, and against the signal they balance the penalty in its scaled units
+    assert abs((y - p).sum()) < 1e-5
+    assert abs(((y - p) * (sharp - sharp.mean()) / sharp.std()).sum() - got["sharp"].coefficient * sharp.std()) < 1e-4
+    one = study.failure_model(df.filter("registered"), ["sharp"]).first()
+    assert not one.meets_target and one.note
