@@ -18,21 +18,30 @@ from rushlight.plans.sizing import settle
 from rushlight.plans.timeline import Timeline
 
 MIN_SQ_DIST = 1e-14  # Fixed value: floor of a squared distance.
-LEVELS = 16
+LEVELS = 21  # three indices make one 63-bit code
 BLOCK_ROWS = 1024
 
 
 def _spread(x: Column) -> Column:
-    """Put two zero bits between the bits of a 16-bit number."""
+    """Put two zero bits between the bits of a 21-bit number."""
     masks = ((32, 0x1F00000000FFFF), (16, 0x1F0000FF0000FF), (8, 0x100F00F00F00F00F), (4, 0x10C30C30C30C30C3), (2, 0x1249249249249249))
     for shift, mask in masks:
         x = x.bitwiseOR(F.shiftleft(x, shift)).bitwiseAND(F.lit(mask))
     return x
 
 
+def _bent(value: Column, axis: str) -> Column:
+    return F.asinh((value - F.col(f"_mid_{axis}")) / F.col(f"_wide_{axis}"))
+
+
 def _index(value: Column, axis: str) -> Column:
-    """Finest grid index along an axis, non-decreasing in ``value``."""
-    share = (value - F.col(f"_lo_{axis}")) / F.col("_side") * float(1 << LEVELS)
+    """Finest grid index along an axis, non-decreasing in ``value``.
+
+    The axis is bent like a logarithm away from the middle half of the points, so that far outliers do not take
+    the resolution from where the points are.
+    """
+    low, high = _bent(F.col(f"_lo_{axis}"), axis), _bent(F.col(f"_hi_{axis}"), axis)
+    share = F.coalesce(F.try_divide(_bent(value, axis) - low, high - low), F.lit(0.0)) * float(1 << LEVELS)
     return F.greatest(F.lit(0), F.least(F.lit((1 << LEVELS) - 1), F.floor(share))).cast("long")
 
 
@@ -82,9 +91,15 @@ def knn_mean_sq_dist(
     distinct = _fresh(data).groupBy(scene, *xyz).agg(F.count(F.lit(1)).alias("_w"))
     boxes = distinct.groupBy(scene).agg(
         *[F.min(c).alias(f"_lo_{c}") for c in xyz],
+        *[F.max(c).alias(f"_hi_{c}") for c in xyz],
+        *[F.percentile_approx(c, [0.25, 0.5, 0.75], 1000).alias(f"_q_{c}") for c in xyz],
         F.greatest(*[F.max(c) - F.min(c) for c in xyz], F.lit(1e-300)).alias("_side"),
         F.sum("_w").alias("_all"),
     )
+    for c in xyz:
+        q = F.col(f"_q_{c}")
+        inner = F.greatest(F.get(q, 2) - F.get(q, 0), (F.col(f"_hi_{c}") - F.col(f"_lo_{c}")) * 1e-6, F.lit(1e-300))
+        boxes = boxes.withColumns({f"_mid_{c}": F.get(q, 1), f"_wide_{c}": inner}).drop(f"_q_{c}")
     placed = distinct.join(boxes, scene)
     cells = {f"_i{c}": _index(F.col(c), c) for c in xyz}
     placed = placed.withColumns(cells)
@@ -140,18 +155,20 @@ def _ask_others(laid: DataFrame, mine: DataFrame, found_schema: str, scene: str,
     xyz = ["x", "y", "z"]
     asks = _fresh(laid).join(mine.select(scene, "_pid", "_r2"), [scene, "_pid"])
     reach = F.sqrt(F.col("_r2")) * (1 + 1e-9) + F.col("_side") * 1e-12
-    # an unbounded ball has no level of its own and looks at the whole scene
-    own = F.coalesce(F.floor(F.log2(F.col("_side") / (2 * reach))), F.lit(0))
-    level = F.greatest(F.lit(0), F.least(F.lit(LEVELS), own))
-    asks = asks.filter(F.col("_r2") > 0).withColumn("_reach", reach).withColumn("_level", level.cast("int"))
+    asks = asks.filter(F.col("_r2") > 0).withColumn("_reach", reach)
+    for c in xyz:
+        asks = asks.withColumns({f"_l{c}": _index(F.col(c) - F.col("_reach"), c), f"_h{c}": _index(F.col(c) + F.col("_reach"), c)})
+    # the finest level at which the ball spans two cells at most along every axis; an unbounded ball has level 0
+    span = F.greatest(*[F.col(f"_h{c}") - F.col(f"_l{c}") for c in xyz])
+    level = F.lit(LEVELS) - F.ceil(F.log2(F.greatest(span, F.lit(1)).cast("double")))
+    asks = asks.withColumn("_level", F.greatest(level, F.lit(0)).cast("int"))
     shift = F.lit(1).cast("long") * F.pow(F.lit(2.0), F.lit(LEVELS) - F.col("_level")).cast("long")
 
     def cell(index: Column) -> Column:
         return F.floor(index / shift).cast("long")
 
     for c in xyz:
-        low, high = _index(F.col(c) - F.col("_reach"), c), _index(F.col(c) + F.col("_reach"), c)
-        asks = asks.withColumn(f"_c{c}", F.explode(F.sequence(cell(low), cell(high))))
+        asks = asks.withColumn(f"_c{c}", F.explode(F.sequence(cell(F.col(f"_l{c}")), cell(F.col(f"_h{c}"))))).drop(f"_l{c}", f"_h{c}")
     keys = [scene, "_level", *[f"_c{c}" for c in xyz]]
     used = [r[0] for r in asks.select("_level").distinct().collect()]  # at most LEVELS + 1 numbers
     occupied = (
