@@ -296,26 +296,21 @@ def _similar(threshold: float):
 def components(links: DataFrame) -> DataFrame:
     """(id, root): smallest id reachable over undirected ``links`` (a, b), for every id that has a link.
 
-    Labels sink along links and then jump to their own label's label, until none changes: few rounds for
-    the star-like links made here, at most logarithmic steps along long chains. Every round is written to shared
-    files; counts are combined before each shuffle, so hubs cost no more than other ids.
+    Each round every id takes the smallest of itself and its neighbours as parent; links are redrawn between parents, and
+    those inside one are dropped, so what is left shrinks from round to round: at once for stars, by half along a
+    chain. Rounds are written to shared files; neighbours are combined before each shuffle, so hubs cost no more than
+    other ids. Parents of the rounds, one after the other, are the root.
     """
-    both = settle(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = settle(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("root")).withColumnRenamed("a", "id"))
-    while True:
-        sunk = (
-            both.join(labels.withColumnRenamed("id", "b"), "b")
-            .groupBy("a")
-            .agg(F.min("root").alias("near"))
-            .join(labels.withColumnRenamed("id", "a"), "a")
-            .select(F.col("a").alias("id"), F.least("near", "root").alias("root"), F.col("root").alias("old"))
-        )
-        over = labels.select(F.col("id").alias("root"), F.col("root").alias("further"))
-        jumped = settle(sunk.join(over, "root", "left").select("id", F.least("root", "further").alias("root"), "old"))
-        changed = jumped.filter(F.col("root") != F.col("old")).limit(1).count()
-        labels = jumped.select("id", "root")
-        if not changed:
-            return labels
+    rest = settle(links.select("a", "b").filter("a <> b").distinct())
+    roots = settle(rest.select(F.col("a").alias("id")).union(rest.select("b")).distinct()).withColumn("root", F.col("id"))
+    while not rest.isEmpty():
+        both = rest.union(rest.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        parents = settle(both.groupBy(F.col("a").alias("child")).agg(F.least(F.min("b"), F.col("child")).alias("parent")))
+        other = parents.select(F.col("child").alias("child2"), F.col("parent").alias("parent2"))
+        drawn = rest.join(parents, F.col("a") == F.col("child")).join(other, F.col("b") == F.col("child2"))
+        rest = settle(drawn.filter("parent <> parent2").select(F.col("parent").alias("a"), F.col("parent2").alias("b")).distinct())
+        roots = roots.join(parents, F.col("root") == F.col("child"), "left").select("id", F.coalesce("parent", "root").alias("root"))
+    return settle(roots)
 
 
 def near_duplicates(

@@ -160,3 +160,24 @@ def test_mix_with_overlap_and_edges(spark, edge_docs, no_docs):
     assert mixing.mix_sources(no_docs, F.array("source")).count() == 0
     none = mixing.mix_sources(edge_docs, F.lit(None).cast("array<string>")).collect()
     assert defaultdict(int, Counter(tuple(r.pattern) for r in none)) == {(None,): edge_docs.count()}
+
+
+def test_components_of_chains_stars_and_strangers(spark):
+    rnd = random.Random(9)
+    ids = rnd.sample(range(10**6), 400)
+    edges = list(zip(ids[:150], ids[1:150])) + [(ids[200], x) for x in ids[201:300]] + [(ids[300], ids[300])]
+    edges += [(rnd.choice(ids[310:]), rnd.choice(ids[310:])) for _ in range(70)]
+    root = {}
+
+    def find(x):
+        root.setdefault(x, x)
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in edges:
+        x, y = sorted((find(a), find(b)))
+        root[y] = x
+    got = {r.id: r.root for r in darts.components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
+    linked = {x for a, b in edges if a != b for x in (a, b)}
+    assert got == {x: find(x) for x in linked}
