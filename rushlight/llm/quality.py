@@ -148,8 +148,10 @@ def fit_cutoffs(
              for r in rules for i, c in enumerate(r.cutoffs)]
     each = measured.filter(~base_failed()).join(good, key).select(F.col(stratum).alias("stratum"), F.array(*tests).alias("t"))
     # sums of fixed columns first: one row per stratum and task leaves the map side
-    flat = each.groupBy("stratum").agg(
-        F.count(F.lit(1)).alias("n"), *[F.sum(F.col("t")[i]["hit"]).alias(f"k{i}") for i in range(len(tests))]
+    flat = settle(
+        each.groupBy("stratum").agg(
+            F.count(F.lit(1)).alias("n"), *[F.sum(F.col("t")[i]["hit"]).alias(f"k{i}") for i in range(len(tests))]
+        )
     )
     counted = flat.select(
         "stratum",
@@ -165,17 +167,10 @@ def fit_cutoffs(
         ).alias("t"),
     ).select("stratum", "n", "t.*")
     risk = max_false_rejection / len(rules)
-    # chains are counted without a second pass: every stratum has one per rule
-    chains = flat.agg(F.count(F.lit(1)).alias("strata"))
-    judged = (
-        counted.join(F.broadcast(chains))  # one row
-        .withColumn("level", F.lit(1 - confidence) / (F.col("strata") * len(rules)))
-        .withColumn(
-            "safe",
-            F.when(F.col("k") < F.col("n") * risk, risk_bound(F.col("n"), F.col("k"), risk) <= F.col("level")).otherwise(
-                False
-            ),
-        )
+    level = (1 - confidence) / max(flat.count() * len(rules), 1)  # one chain per stratum and rule
+    judged = counted.withColumn(
+        "safe",
+        F.when(F.col("k") < F.col("n") * risk, risk_bound(F.col("n"), F.col("k"), risk) <= level).otherwise(False),
     )
     # strictest of the leading safe ones: hits only grow along a chain, so a failure is followed by failures
     stop = F.coalesce(F.min(F.when(~F.col("safe"), F.col("place"))), F.lit(1 << 20)).alias("stop")
