@@ -174,11 +174,11 @@ def validate_manifest(packs: DataFrame, files: DataFrame, capture: str = "captur
     def unlocked(flag: str) -> Column:
         return ~F.coalesce(c(flag), F.lit(False))
 
-    rules = [issue("error", "main_file", absent("main_file"), "Main video file referenced by the manifest is missing")]
-    rules += [issue("warning", n, absent(n), f"Metadata file missing: {n}") for n in OPTIONAL_METADATA]
+    rules = [issue("error", "main_file", absent("main_file"), "main video not found")]
+    rules += [issue("warning", n, absent(n), f"{n} file not found") for n in OPTIONAL_METADATA]
     rules += [
-        issue("warning", "exposure", unlocked("exposure_locked"), "Exposure lock was not recorded as enabled"),
-        issue("warning", "white_balance", unlocked("white_balance_locked"), "White balance lock was not recorded as enabled"),
+        issue("warning", "exposure", unlocked("exposure_locked"), "exposure not known to be locked"),
+        issue("warning", "white_balance", unlocked("white_balance_locked"), "white balance not known to be locked"),
     ]
     return issue_rows(checked, [capture], rules)
 
@@ -192,10 +192,10 @@ def validate_transforms(
     shaped = c("matrix").isNotNull() & (F.size("matrix") == 4) & F.forall("matrix", lambda r: F.size(r) == 4)
     bottom = F.element_at("matrix", 4) == F.array(*[F.lit(v) for v in (0.0, 0.0, 0.0, 1.0)])
     rules = [
-        issue("error", "no_path", c("file_path").isNull(), "frame has no file_path"),
-        issue("error", "no_matrix", ~F.coalesce(shaped, F.lit(False)), "frame has no valid 4x4 transform_matrix"),
-        issue("warning", "bottom_row", shaped & ~bottom, "transform_matrix has a non-standard bottom row"),
-        issue("error", "no_intrinsics", ~c("has_top_level_intrinsics") & c("fl_x").isNull(), "frame has no intrinsics"),
+        issue("error", "no_path", c("file_path").isNull(), "no path"),
+        issue("error", "no_matrix", ~F.coalesce(shaped, F.lit(False)), "matrix is not 4 by 4"),
+        issue("warning", "bottom_row", shaped & ~bottom, "last matrix row is not 0 0 0 1"),
+        issue("error", "no_intrinsics", ~c("has_top_level_intrinsics") & c("fl_x").isNull(), "no focal length, neither of the frame nor of the capture"),
     ]
     found = issue_rows(frames, [capture, "frame"], rules)
     if captures is not None:
@@ -222,7 +222,7 @@ def validate_transforms(
                 F.lit(None).cast(frames.schema["frame"].dataType).alias("frame"),
                 F.lit("error").alias("level"),
                 F.lit("missing_images").alias("code"),
-                F.concat(c("_n").cast("string"), F.lit(" referenced image(s) are missing, starting with "), c("_first")).alias("message"),
+                F.concat(c("_n").cast("string"), F.lit(" images not found; first: "), c("_first")).alias("message"),
             )
         )
     return found

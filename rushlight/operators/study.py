@@ -189,7 +189,7 @@ def fit_logistic(
         )
         nan = float("nan")
         if classes < 2:
-            note = "Need both outcome classes present to fit a model"
+            note = "one_class"
             rows = [(t, 0.0, nan, nan, n, positives, False, False, note) for t in ["intercept", *features]]
             return spark.createDataFrame(rows, schema)
 
@@ -222,7 +222,7 @@ def fit_logistic(
             try:
                 step = np.linalg.solve(hessian, gradient)
             except np.linalg.LinAlgError:
-                notes.append("Hessian was singular; stopped early")
+                notes.append("singular")
                 break
             beta = beta + step
             if np.max(np.abs(step)) < tolerance:
@@ -237,7 +237,7 @@ def fit_logistic(
         data.unpersist()
     separable = bool(area >= SEPARABLE_FROM)
     if separable:
-        notes.append("The classes are perfectly separable at this sample size.")
+        notes.append("separable")
     raw = beta[1:] / scales
     intercept = float(beta[0] - np.sum(beta[1:] * means / scales))
     terms = [("intercept", intercept), *zip(features, raw.tolist(), strict=True)]
