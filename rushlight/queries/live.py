@@ -53,7 +53,18 @@ def phase_machine(spark, folder):
     return live.replay(ticks(spark, folder), "phases", ["event_id"])
 
 
-@query("str4_lock_events_replay")
+@query(
+    "str4_lock_events_replay",
+    f"""WITH {EVENTS}, r AS (SELECT capture_id, event_id, t, CASE WHEN event_type IN ('click', 'view') THEN event_type END AS lens, CAST(trunc(value * 1000) AS BIGINT) AS exposure, k FROM events_v),
+    c AS (SELECT *, row_number() OVER w AS checked, sum(CASE WHEN abs(exposure - 50000) <= 1000 THEN 1 ELSE 0 END) OVER w AS matched, first_value(lens IGNORE NULLS) OVER w AS first_lens
+      FROM r WINDOW w AS (PARTITION BY capture_id ORDER BY t, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+    e AS (
+      SELECT capture_id, event_id, t, 'lens_switch' AS kind, first_lens || ' -> ' || lens AS detail, checked - 1 AS checked, matched - CASE WHEN abs(exposure - 50000) <= 1000 THEN 1 ELSE 0 END AS matched FROM c WHERE lens <> first_lens
+      UNION ALL SELECT capture_id, event_id, t, 'exposure_drift', 'requested 50000 ns, got ' || exposure, checked, matched FROM c WHERE abs(exposure - 50000) > 1000
+      UNION ALL SELECT capture_id, event_id, t, 'awb_not_manual', 'requested OFF', checked, matched FROM c WHERE k = 99)
+    SELECT capture_id, t AS t_ns, kind, detail, checked, matched FROM e
+    QUALIFY row_number() OVER (PARTITION BY capture_id, kind ORDER BY t, event_id) = 1""",
+)
 def lock_events(spark, folder):
     rows = events(spark, folder).select(
         "capture_id", "event_id", F.col("t").alias("t_ns"), F.when(F.col("event_type").isin("click", "view"), F.col("event_type")).alias("physical_id"),
