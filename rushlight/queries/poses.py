@@ -35,7 +35,27 @@ def posed(spark, folder):
     return unit.select(F.col("label").alias("capture_id"), F.col("vec_id").alias("image_id"), *DIMS)
 
 
-@query("agg9_median_pose")
+MIDDLE = rotation_sql("w", "x", "y", "z")
+
+
+@query(
+    "agg9_median_pose",
+    f"""WITH RECURSIVE {POSED},
+    sides AS (SELECT p.capture_id, p.qw * s AS w, p.qx * s AS x, p.qy * s AS y, p.qz * s AS z FROM (
+      SELECT p.*, CASE WHEN p.qw * f.qw + p.qx * f.qx + p.qy * f.qy + p.qz * f.qz < 0 THEN -1 ELSE 1 END AS s
+      FROM posed_v p JOIN (SELECT * FROM posed_v QUALIFY row_number() OVER (PARTITION BY capture_id ORDER BY image_id) = 1) f USING (capture_id)) p),
+    sums AS (SELECT capture_id, avg(w) AS w, avg(x) AS x, avg(y) AS y, avg(z) AS z FROM sides GROUP BY 1),
+    steps AS (SELECT 0 AS step, capture_id, w / n AS w, x / n AS x, y / n AS y, z / n AS z FROM (SELECT *, sqrt(w * w + x * x + y * y + z * z) AS n FROM sums)
+      UNION ALL SELECT step + 1, capture_id, w / n, x / n, y / n, z / n FROM (SELECT *, sqrt(w * w + x * x + y * y + z * z) AS n FROM (
+        SELECT step, capture_id, sum(w / d) AS w, sum(x / d) AS x, sum(y / d) AS y, sum(z / d) AS z FROM (
+          SELECT m.step, q.*, greatest(sqrt(pow(q.w - m.w, 2) + pow(q.x - m.x, 2) + pow(q.y - m.y, 2) + pow(q.z - m.z, 2)), 1e-9) AS d
+          FROM steps m JOIN sides q USING (capture_id) WHERE m.step < 64) GROUP BY 1, 2))),
+    mid AS (SELECT capture_id, median(cx) AS cx, median(cy) AS cy, median(cz) AS cz FROM centre_v GROUP BY 1),
+    whole AS (SELECT * FROM steps JOIN mid USING (capture_id) WHERE step = 64)
+    SELECT capture_id, round(w, 6) AS qw, round(x, 6) AS qx, round(y, 6) AS qy, round(z, 6) AS qz,
+      {", ".join(f"round(-({MIDDLE[3 * r]} * cx + {MIDDLE[3 * r + 1]} * cy + {MIDDLE[3 * r + 2]} * cz), 6) AS t{k}" for r, k in enumerate("xyz"))},
+      round(cx, 6) AS cx, round(cy, 6) AS cy, round(cz, 6) AS cz FROM whole""",
+)
 def median_pose(spark, folder):
     return rounded(poses.median_pose(posed(spark, folder)))
 
@@ -45,7 +65,7 @@ def median_pose(spark, folder):
     f"WITH {POSED} SELECT capture_id, round(median(cx), 6) AS cx, round(median(cy), 6) AS cy, round(median(cz), 6) AS cz FROM centre_v GROUP BY 1",
 )
 def median_centre(spark, folder):
-    return rounded(poses.median_pose(posed(spark, folder)).select("capture_id", "cx", "cy", "cz"))
+    return rounded(poses.median_centre(posed(spark, folder)))
 
 
 FIRST = """ref_v AS (SELECT capture_id, qw AS rw, qx AS rx, qy AS ry, qz AS rz, tx AS ux, ty AS uy, tz AS uz, cx AS ox, cy AS oy, cz AS oz FROM centre_v
