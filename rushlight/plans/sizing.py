@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 ROWS_PER_TASK_CONF = "spark.rushlight.rowsPerTask"
 BROADCAST_ROWS_CONF = "spark.rushlight.broadcastRows"
+BROADCAST_BYTES_CONF = "spark.rushlight.broadcastBytes"
 
 
 def rows_per_task(spark: SparkSession) -> int:
@@ -21,6 +22,11 @@ def broadcast_rows(spark: SparkSession) -> int:
     return int(spark.conf.get(BROADCAST_ROWS_CONF, "200000"))
 
 
+def broadcast_bytes(spark: SparkSession) -> int:
+    """Bytes of the written (compressed, columnar) table up to which it may be broadcast."""
+    return int(spark.conf.get(BROADCAST_BYTES_CONF, str(32 << 20)))
+
+
 def key_sizes(df: DataFrame, keys: list[str]) -> tuple[int, int]:
     """(rows of the largest key, rows in total) from one map-side combined count."""
     if not keys:
@@ -35,15 +41,24 @@ def fits_one_task(df: DataFrame, keys: list[str], limit: int | None = None) -> b
 
 
 def small(df: DataFrame, limit: int | None = None) -> DataFrame:
-    """Broadcast ``df`` when it is counted to be small; otherwise leave the join to shuffle.
+    """Broadcast ``df`` when it is measured to be small; otherwise leave the join to shuffle.
 
-    The table is written first, so counting it does not compute it a second time.
+    Both rows and bytes count, since a row may hold a whole scaffold. The table is written first, so
+    measuring it does not compute it a second time.
     """
-    limit = limit or broadcast_rows(df.sparkSession)
+    spark = df.sparkSession
+    limit = limit or broadcast_rows(spark)
     written = settle(df)
+    if _written_bytes(spark, _settled[spark.sparkContext.applicationId][-1]) > broadcast_bytes(spark):
+        return written
     return F.broadcast(written) if written.count() <= limit else written
 
 
+def _written_bytes(spark: SparkSession, path: str) -> int:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(where).getLength()
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder the cluster names in ``spark.checkpoint.dir``.
 

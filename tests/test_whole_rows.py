@@ -118,3 +118,16 @@ def test_failure_model_flags_its_area(spark):
     assert abs(((y - p) * (sharp - sharp.mean()) / sharp.std()).sum() - got["sharp"].coefficient * sharp.std()) < 1e-4
     one = study.failure_model(df.filter("registered"), ["sharp"]).first()
     assert not one.meets_target and one.note
+
+
+def test_wide_rows_are_not_broadcast(spark):
+    wide = spark.range(200).select("id", F.sha2(F.col("id").cast("string"), 512).alias("a"), F.transform(F.sequence(F.lit(1), F.lit(300)), lambda i: F.rand()).alias("b"))
+    plan = lambda: spark.range(200).join(sizing.small(wide), "id")._jdf.queryExecution().toString()
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert "BroadcastHashJoin" in plan()
+        spark.conf.set(sizing.BROADCAST_BYTES_CONF, "1000")
+        assert "BroadcastHashJoin" not in plan()
+    finally:
+        spark.conf.unset(sizing.BROADCAST_BYTES_CONF)
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
