@@ -20,7 +20,7 @@ BANDS, ROWS = 22, 6
 LEVELS = 24  # rank levels, each twice as deep as all before it; far more than any text needs
 FIRST = 2.0**-10  # depth of the first rank level
 ROWS_OUT = 256
-MEMO = 1_000_000  # words a worker remembers the hash of
+MEMO = 250_000  # words a worker remembers the hash of
 STARS = 1  # star rounds before the exact one
 BLOCK = 150_000  # elements of a block in the exact round
 COLUMNS = 4096  # elements compared at a time
