@@ -12,7 +12,7 @@ from rushlight.plans.sizing import settle
 
 WHITE = r"[\x20\x09-\x0D]+"
 BINS = 4096  # hash ranges per pattern in which sizes are added up before single documents are looked at
-MAX_PATTERNS = 100_000  # distinct membership patterns; refused beyond, since they are collected
+MAX_PATTERNS = 10_000  # distinct membership patterns; refused beyond, since they are collected
 
 
 def word_count(text: Column) -> Column:
@@ -42,6 +42,7 @@ def source_targets(
         left -= sum(targets[s] for s in over)
         open_ = [s for s in open_ if s not in over]
     return targets
+    return targets
 
 
 def route(
