@@ -90,10 +90,17 @@ def settle(df: DataFrame) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
-def release(spark: SparkSession) -> int:
-    """Delete every settled table of this application, once its results are written; returns how many."""
-    paths = _settled.pop(spark.sparkContext.applicationId, [])
-    for path in paths:
+def settled(spark: SparkSession) -> list[str]:
+    """Settled tables of this application that are still there, oldest first."""
+    return list(_settled.get(spark.sparkContext.applicationId, []))
+
+
+def release(spark: SparkSession, paths: list[str] | None = None) -> int:
+    """Delete settled tables, these or all of the application, once the results that read them are written."""
+    known = _settled.get(spark.sparkContext.applicationId, [])
+    gone = list(known) if paths is None else [p for p in paths if p in known]
+    for path in gone:
         where = spark._jvm.org.apache.hadoop.fs.Path(path)
         where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
-    return len(paths)
+        known.remove(path)
+    return len(gone)
