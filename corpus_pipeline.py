@@ -7,6 +7,9 @@ last return the columns of ``documents``. ``run`` writes each stage as Parquet a
 from __future__ import annotations
 
 import sys
+import uuid
+from collections.abc import Callable
+from functools import wraps
 from pathlib import Path
 
 sys.path.insert(0, str(Path(__file__).resolve().parent))
@@ -16,32 +19,58 @@ from pyspark.sql import DataFrame, SparkSession  # noqa: E402
 from pyspark.sql import functions as F  # noqa: E402
 
 from rushlight.llm import darts, exact, mixing, pieces, quality  # noqa: E402
-from rushlight.plans.sizing import settle  # noqa: E402
+from rushlight.plans.sizing import release, settle, settled, shared_folder  # noqa: E402
 from rushlight.shipping import ship  # noqa: E402
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 MODEL = public_tokenizers.path("piece_bpe_32k.model")
 
 
+_made: dict[str, list[str]] = {}
+
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
+
+def _frees_the_last(stage: Stage) -> Stage:
+    """A stage begins when its predecessor's rows are written: then the tables that made them can go."""
+
+    @wraps(stage)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        app = spark.sparkContext.applicationId
+        release(spark, _made.pop(app, []))
+        before = set(settled(spark))
+        made = stage(spark, docs, sf_dir)
+        _made[app] = [p for p in settled(spark) if p not in before]
+        return made
+
+    return run_stage
+
+
+@_frees_the_last
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rules and the risk-controlled cutoffs of their language."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     return quality.judge_quality(docs, labels).filter("kept").select(*COLUMNS)
 
 
+@_frees_the_last
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the one with the smallest doc_id."""
     stays = settle(exact.exact_groups(docs).filter("kept").select("doc_id"))
-    return docs.join(stays, "doc_id", "left_semi").select(*COLUMNS)
+    # the same plan at every size: rows of a document are few, so no key is hot
+    return docs.join(stays.hint("merge"), "doc_id", "left_semi").select(*COLUMNS)
 
 
+@_frees_the_last
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, that with the smallest doc_id, of every class of near duplicates."""
     ship(spark)
     stays = settle(darts.near_duplicates(docs).filter("kept").select("doc_id"))
-    return docs.join(stays, "doc_id", "left_semi").select(*COLUMNS)
+    # the same plan at every size: rows of a document are few, so no key is hot
+    return docs.join(stays.hint("merge"), "doc_id", "left_semi").select(*COLUMNS)
 
 
+@_frees_the_last
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix reads them: none, one or two rows each."""
     mixed = mixing.mix_sources(docs, F.array("source"))
@@ -49,6 +78,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixed.select(*COLUMNS, F.explode(F.array_repeat(F.lit(0), times.cast("int")))).select(*COLUMNS)
 
 
+@_frees_the_last
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Ids of every document with an end id, and the digest of what they decode to."""
     ship(spark)
@@ -77,6 +107,8 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES[:-1]:
-        docs = settle(stage(spark, docs, sf_dir))
+    folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+    for name, stage in STAGES[:-1]:
+        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
+        docs = spark.read.parquet(f"{folder}/{name}")
     return STAGES[-1][1](spark, docs, sf_dir)
