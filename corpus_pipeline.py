@@ -15,7 +15,7 @@ from pathlib import Path
 sys.path.insert(0, str(Path(__file__).resolve().parent))
 
 import public_tokenizers  # noqa: E402
-from pyspark.sql import DataFrame, SparkSession  # noqa: E402
+from pyspark.sql import Column, DataFrame, SparkSession  # noqa: E402
 from pyspark.sql import functions as F  # noqa: E402
 
 from rushlight.llm import darts, exact, mixing, pieces, quality  # noqa: E402
@@ -46,6 +46,22 @@ def _frees_the_last(stage: Stage) -> Stage:
     return run_stage
 
 
+def _row_digest() -> Column:
+    """Digest of all of a row's columns, each with its length before it, so that only equal rows have equal digests."""
+    parts = [F.col(c).cast("string") for c in COLUMNS]
+    marked = [F.coalesce(F.concat(F.octet_length(p).cast("string"), F.lit(":"), p), F.lit("-")) for p in parts]
+    return F.sha2(F.concat(*marked).cast("binary"), 256)
+
+
+def _one_row_each(docs: DataFrame, keys: list[str], stays: DataFrame) -> DataFrame:
+    """Of the rows of ``docs`` (with ``keys`` and ``_row``) whose keys, none of them null, are in ``stays`` one row per
+    keys: that with the smallest digest. Copies are combined before the shuffle, so no key is hot behind it."""
+    row = F.struct("_row", *COLUMNS)
+    single = docs.groupBy(*keys).agg(F.min(row).alias("_kept"))
+    # the same plan at every size
+    return single.join(stays.hint("merge"), keys, "left_semi").select("_kept.*").select(*COLUMNS)
+
+
 @_frees_the_last
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rules and the risk-controlled cutoffs of their language."""
@@ -55,19 +71,31 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 @_frees_the_last
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the one with the smallest doc_id."""
-    stays = settle(exact.exact_groups(docs).filter("kept").select("doc_id"))
-    # the same plan at every size: rows of a document are few, so no key is hot
-    return docs.join(stays.hint("merge"), "doc_id", "left_semi").select(*COLUMNS)
+    """Of equal texts one row: that with the smallest doc_id (null last), then with the smallest digest of the row."""
+
+    def named(sha: Column) -> list[Column]:
+        return [
+            F.col("doc_id").isNull().alias("_none"),
+            F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("_id"),
+            sha.alias("_sha"),
+        ]
+
+    keys = ["_none", "_id", "_sha"]
+    stays = settle(exact.exact_groups(docs).filter("kept").select(*named(F.col("text_sha256"))).distinct())
+    sha = F.sha2(exact.normalised(F.col("text")).cast("binary"), 256)
+    return _one_row_each(docs.select(*named(sha), _row_digest().alias("_row"), *COLUMNS), keys, stays)
 
 
 @_frees_the_last
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that with the smallest doc_id, of every class of near duplicates."""
+    """One row of every class of near duplicates: that with the smallest doc_id (null last), then the smallest digest."""
     ship(spark)
-    stays = settle(darts.near_duplicates(docs).filter("kept").select("doc_id"))
-    # the same plan at every size: rows of a document are few, so no key is hot
-    return docs.join(stays.hint("merge"), "doc_id", "left_semi").select(*COLUMNS)
+    # rows go by id and digest, which are never null as a whole: null ids are linked, and two texts of one id are two
+    place = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("_row").alias("row"))
+    rows = docs.select(*COLUMNS, _row_digest().alias("_row"))
+    verdicts = darts.near_duplicates(rows.select("text", place.alias("place")), key="place")
+    stays = settle(verdicts.filter("kept").select(F.col("place.row").alias("_row")).distinct())
+    return _one_row_each(rows, ["_row"], stays)
 
 
 @_frees_the_last
