@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 from rushlight.plans.sizing import settle
 
 DAMPING = 0.85
-ROUNDS = 12  # what is left after n rounds is below DAMPING ** n of the seeds' mass
+TOLERANCE = 1e-6  # largest share of its score that a host may still gain in ROUNDS_A_TABLE rounds
+ROUNDS_A_TABLE = 6  # rounds between two written tables
 RATIO = 2.0  # a host is blocked where its distrust exceeds RATIO times its trust
-DEPTH = 3  # parent domains that a host links to, at most
 
 
 @dataclass(frozen=True)
@@ -65,8 +65,7 @@ def host_edges(pages: DataFrame, host: str, html: str) -> DataFrame:
     """Weighted edges (src, dst, weight) between different hosts.
 
     Every absolute link in a page's ``href`` or ``src`` is an edge from the page's host, counted once per page and
-    target host. A host also links to its parent domains (up to ``DEPTH``, two labels at least) and they to it, with
-    weight 1, since one owner answers for both. Counts are combined before the shuffle.
+    target host. Counts are combined before the shuffle.
     """
     links = F.array_distinct(
         F.transform(
@@ -86,29 +85,38 @@ def host_edges(pages: DataFrame, host: str, html: str) -> DataFrame:
     return linked
 
 
+def parent_domains(host: Column) -> Column:
+    """All parent domains of a host that have two labels at least, nearest first."""
+    labels = F.split(host, r"\.")
+    last = F.size(labels) - 1
+    places = F.when(last >= 2, F.sequence(F.lit(2), F.greatest(last, F.lit(2)))).otherwise(F.array().cast("array<int>"))
+    return F.transform(places, lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+
+
 def parent_edges(hosts: DataFrame) -> DataFrame:
-    labels = F.split("host", r"\.")
-    parents = F.filter(
-        F.transform(
-            F.sequence(F.lit(2), F.lit(1 + DEPTH)),
-            lambda i: F.when(i <= F.size(labels) - 1, F.array_join(F.slice(labels, i, F.size(labels)), ".")),
-        ),
-        lambda p: p.isNotNull() & (F.instr(p, ".") > 0),
-    )
-    up = hosts.select(F.col("host").alias("src"), F.explode(parents).alias("dst"))
+    """Edges of weight 1 between every host and all its parent domains, both ways, since one owner answers for both.
+    Parents that are no known host are hosts too."""
+    every = hosts.select("host").union(hosts.select(F.explode(parent_domains(F.col("host"))))).distinct()
+    up = every.select(F.col("host").alias("src"), F.explode(parent_domains(F.col("host"))).alias("dst")).filter("src <> dst")
     return up.union(up.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct().withColumn("weight", F.lit(1.0))
 
 
 def personalised_rank(
-    edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, rounds: int = ROUNDS
+    edges: DataFrame,
+    seeds: DataFrame,
+    damping: float = DAMPING,
+    rounds: int | None = None,
+    tolerance: float = TOLERANCE,
 ) -> DataFrame:
     """(kind, host, score): personalised PageRank from ``seeds`` (kind, host, mass) over ``edges`` (kind, src, dst, weight),
     for every kind by itself; scores of a kind add up to 1, hosts that are not reached have no row.
 
     Each round a host passes ``damping`` of its score on by its edges' weights, and the seeds get the rest. What hosts
-    without edges would pass on returns to the seeds: that only scales all scores, so it is done once at the end. After
-    ``rounds`` rounds less than damping ** rounds of the mass is still to move. A round is one join of edges and scores
-    and one sum, combined before its shuffle and written to shared files: a lost executor costs a round at most.
+    without edges would pass on returns to the seeds: that only scales all scores, so it is done once at the end. Scores
+    begin with the seeds' own part and only grow. Rounds go on until no host gained more than ``tolerance`` of its own
+    score in the last ``ROUNDS_A_TABLE`` (one number a kind), so hosts far from all seeds are reached and settled as the
+    near ones are; ``rounds``, if given, ends them earlier. A round is one join of edges and scores and one sum, combined
+    before its shuffle; every ``ROUNDS_A_TABLE`` rounds are written to shared files, which a lost executor costs at most.
     """
     outs = edges.groupBy("kind", "src").agg(F.sum("weight").alias("out"))
     share = settle(edges.join(outs, ["kind", "src"]).select("kind", "src", "dst", (F.col("weight") / F.col("out")).alias("share")))
@@ -117,13 +125,22 @@ def personalised_rank(
         seeds.groupBy("kind", "host").agg(F.sum("mass").alias("mass")).join(F.broadcast(masses), "kind")  # a row per kind
         .select("kind", "host", (F.col("mass") / F.col("all")).alias("score"))
     )
-    scores = start
-    for _ in range(rounds):
-        moved = share.join(scores.withColumnRenamed("host", "src"), ["kind", "src"]).select(
-            "kind", F.col("dst").alias("host"), (F.lit(damping) * F.col("score") * F.col("share")).alias("score")
-        )
-        fresh = start.withColumn("score", F.lit(1 - damping) * F.col("score"))
-        scores = settle(moved.union(fresh).groupBy("kind", "host").agg(F.sum("score").alias("score")))
+    fresh = start.withColumn("score", F.lit(1 - damping) * F.col("score"))
+    scores, done, gain = fresh, 0, 1.0
+    while gain > tolerance and (rounds is None or done < rounds):
+        turns = ROUNDS_A_TABLE if rounds is None else min(ROUNDS_A_TABLE, rounds - done)
+        before = scores.select("kind", "host", F.lit(0.0).alias("score"), F.col("score").alias("before"))
+        for _ in range(turns):
+            moved = share.join(scores.withColumnRenamed("host", "src"), ["kind", "src"]).select(
+                "kind", F.col("dst").alias("host"), (F.lit(damping) * F.col("score") * F.col("share")).alias("score")
+            )
+            parts = moved.union(fresh)
+            scores = parts.groupBy("kind", "host").agg(F.sum("score").alias("score"))
+        last = parts.withColumn("before", F.lit(0.0)).union(before)
+        both = settle(last.groupBy("kind", "host").agg(F.sum("score").alias("score"), F.sum("before").alias("before")))
+        gains = both.filter("score > 0").groupBy("kind").agg(F.max((F.col("score") - F.col("before")) / F.col("score")).alias("gain"))
+        gain = max([r["gain"] for r in gains.collect()], default=0.0)
+        scores, done = both.select("kind", "host", "score"), done + turns
     sums = scores.groupBy("kind").agg(F.sum("score").alias("all"))
     return scores.join(F.broadcast(sums), "kind").select("kind", "host", (F.col("score") / F.col("all")).alias("score"))
 
@@ -135,7 +152,7 @@ def judge_urls(
     url: str = "url",
     html: str = "html",
     damping: float = DAMPING,
-    rounds: int = ROUNDS,
+    rounds: int | None = None,
     ratio: float = RATIO,
 ) -> DataFrame:
     """One row per row of ``pages``: ``key, host, path, rule, verdict, trust, distrust``.

@@ -1,5 +1,6 @@
 import html
 import re
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -165,3 +166,38 @@ def test_links_carry_trust_and_distrust(spark):
     ]
     df = spark.createDataFrame(pages, "page_id bigint, url string, html string")
     assert {r.page_id: r.verdict for r in linkgraph.judge_urls(df).collect()} == {1: "allow", 2: "allow", 3: "block", 4: "block", 5: "allow"}
+
+
+def test_defaults_reach_the_dense_solution_along_long_chains(spark):
+    chain = [(f"http://c{i}.net/", f'<a href="http://c{i + 1}.net/">') for i in range(40)]
+    pages = chain + [
+        ("http://c40.net/", "<a href='http://bad.example.org/es/1'>"), ("http://bad.example.org/es/1", ""),
+        ("http://good.org/", "<a href='http://c20.net/'>"), ("http://f.net/", ""),
+        ("http://a.b.c.d.e.f.net/", "<a href='http://bad.example.org/'>"),
+    ]
+    df = spark.createDataFrame([(i, u, h) for i, (u, h) in enumerate(pages)], "page_id bigint, url string, html string")
+    got = {r.host: r for r in linkgraph.judge_urls(df).collect()}
+    edges = Counter()
+    for u, h in pages:
+        if h:
+            edges[u.split("/")[2], re.search("//([^/]*)", h)[1]] += 1
+    hosts = {h for e in edges for h in e} | {u.split("/")[2] for u, _ in pages}
+
+    def parents(h):
+        labels = h.split(".")
+        return [".".join(labels[i:]) for i in range(1, len(labels) - 1)]
+
+    hosts |= {p for h in hosts for p in parents(h)}
+    for h in hosts:
+        for p in parents(h):
+            edges[h, p] += 1
+            edges[p, h] += 1
+    names = sorted(hosts)
+    weights = np.array([[edges[a, b] for b in names] for a in names], float)
+    for kind, w, seeds in (("trust", weights, ["good.org"]), ("distrust", weights.T, ["bad.example.org"])):
+        step = 0.85 * w / np.maximum(w.sum(axis=1, keepdims=True), 1)
+        score = np.linalg.solve(np.eye(len(names)) - step.T, np.array([h in seeds for h in names], float))
+        score /= score.sum()
+        for h, r in got.items():
+            assert abs(r[kind] - score[names.index(h)]) <= 1e-5 * score[names.index(h)]
+    assert all(got[f"c{i}.net"].verdict == "block" for i in range(20)) and got["f.net"].verdict == "block"
