@@ -14,7 +14,8 @@ from rushlight.llm.pieces import SPACE, PieceModel, model_bytes, model_of
 
 CHUNK = 128  # characters of a chunk; all chunks of a slice advance together
 SLICE_CHARS = 4_000_000  # characters taken together
-MAX_STATES = 200_000  # states kept before the table starts again; bounds a worker's memory
+MAX_STATES = 200_000  # states kept before the table starts again
+MAX_CELLS = 128 << 20  # cells (state, class) of 5 bytes at which it starts again; bounds a worker's memory
 START, WORD = 0, 1  # states: nothing read yet, and a word's mark just read
 
 
@@ -28,19 +29,24 @@ class CountTransducer:
     the token count, and the sum over a text is its count.
 
     Words start afresh where no piece runs over their mark: there every state moves to ``WORD``. Characters
-    outside the vocabulary give their bytes (or one unknown) and move to ``START``. States are made when first met, in
-    dense tables (state, character class); past ``max_states`` the table starts again, which costs time only.
+    outside the vocabulary give their bytes (or one unknown) and move to ``START``; those that give as many tokens are one
+    class. States are made when first met, in dense tables (state, character class); past ``max_states`` states or
+    ``max_cells`` cells the table starts again with the states in use, which costs time only. Twice what is in use, and
+    what one character more of every chunk adds, may go beyond these bounds.
     """
 
-    def __init__(self, model: PieceModel, max_states: int = MAX_STATES):
-        self.model, self.max_states = model, max_states
+    def __init__(self, model: PieceModel, max_states: int = MAX_STATES, max_cells: int = MAX_CELLS):
+        self.model, self.max_states, self.max_cells = model, max_states, max_cells
         self.heads = {p[:n] for p in model.ids for n in range(1, len(p))}
-        self.classes = np.zeros(0x110000, np.int16)  # 0: not met yet
+        self.classes = np.zeros(0x110000, np.int32)  # 0: not met yet
         self.letters: list[str] = [""]
+        self.others: dict[int, int] = {}  # tokens of a character outside the vocabulary -> class
+        self.live: list[np.ndarray] = []  # arrays of states in use, -1 for none
         self.reset()
 
     def reset(self) -> None:
         self.keys: list[tuple] = []
+        self.in_use = 0
         self.numbers: dict[tuple, int] = {}
         width = max(64, 1 << (len(self.letters)).bit_length())
         self.next = np.full((1024, width), -1, np.int32)
@@ -60,25 +66,51 @@ class CountTransducer:
                 self.emit = np.concatenate([self.emit, np.zeros_like(self.emit)])
         return number
 
+    def room(self) -> int:
+        """States at which the table starts again; tables grow by doubling, so half of the cells count."""
+        return max(min(self.max_states, self.max_cells // (2 * self.next.shape[1])), 2 * self.in_use)
+
+    def shrink(self, states: np.ndarray) -> np.ndarray:
+        """Start the table again with the states in use, renumbered in ``live``; returns ``states`` renumbered."""
+        fixed = np.arange(min(2, len(self.keys)))  # START, WORD
+        used = np.unique(np.concatenate([fixed, states, *[a[a >= 0] for a in self.live]]))
+        number = np.full(len(self.keys), -1, np.int64)
+        number[used] = np.arange(len(used))
+        for a in self.live:
+            a[a >= 0] = number[a[a >= 0]]
+        keys = [self.keys[u] for u in used]
+        self.reset()
+        for key in keys:
+            self.state(key)
+        self.in_use = len(used)
+        return number[states]
+
     def letter_class(self, codes: np.ndarray) -> np.ndarray:
         """Classes of characters, numbering those not met before."""
         found = self.classes[codes]
         if not found.all():
             for code in np.unique(codes[found == 0]):
-                self.classes[code] = len(self.letters)
-                self.letters.append(chr(code))
+                letter = chr(code)
+                number = len(self.letters)
+                if letter not in self.model.known:
+                    number = self.others.setdefault(self.unknown(letter), number)
+                if number == len(self.letters):
+                    self.letters.append(letter)
+                self.classes[code] = number
             if len(self.letters) > self.next.shape[1]:
-                more = self.next.shape[1]
-                self.next = np.concatenate([self.next, np.full((len(self.next), more), -1, np.int32)], axis=1)
-                self.emit = np.concatenate([self.emit, np.zeros((len(self.emit), more), np.int8)], axis=1)
+                self.reset()  # between slices no state is in use
             found = self.classes[codes]
         return found
 
+    def unknown(self, letter: str) -> int:
+        """Tokens of a character outside the vocabulary."""
+        return len(letter.encode("utf-8", "surrogatepass")) if self.model.byte_fallback else 1
+
     def step(self, number: int, letter: str) -> tuple[int, int]:
         """The transition of a state: (next state, change of the token count)."""
         model = self.model
         if letter not in model.known:
-            return START, len(letter.encode("utf-8")) if model.byte_fallback else 1
+            return START, self.unknown(letter)
         tail, places = self.keys[number]
         tail += letter
         for back in range(len(tail)):  # the longest piece first
@@ -94,6 +126,9 @@ class CountTransducer:
         """Advance many states by one character each; missing transitions are made."""
         to = self.next[states, classes]
         if (to < 0).any():
+            if len(self.keys) > self.room():
+                states = self.shrink(states)
+                to = self.next[states, classes]
             width = self.next.shape[1]
             lacking = to < 0
             for pair in np.unique(states[lacking].astype(np.int64) * width + classes[lacking]):
@@ -113,7 +148,8 @@ class CountTransducer:
         after as many rounds as the longest run of chunks without a mark. Counts per text are differences of the
         running sum.
         """
-        if len(self.keys) > self.max_states:
+        self.live = []
+        if len(self.keys) > self.room():
             self.reset()
         mark = SPACE if self.model.dummy_prefix else ""
         laid = [mark + t.replace(" ", SPACE) if t else "" for t in texts]
@@ -144,6 +180,7 @@ class CountTransducer:
         def advance(lane: np.ndarray, state: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
             """Run lanes from column ``begin`` to ``end``; returns their exit states."""
             state = state.copy()
+            self.live = [exits, state]
             for column in range(int(begin.min()), int(end.max())):
                 on = np.flatnonzero((begin <= column) & (column < end))
                 at = lane[on] * CHUNK + column

@@ -111,3 +111,28 @@ def test_no_conversations(spark):
     df = spark.createDataFrame([], "conv_id bigint, turn bigint, role string, text string, window int")
     assert chat.digest_windows(chat.format_windows(df)).count() == 0
     assert chat.format_windows(df.withColumn("n_turns", F.lit(1))).count() == 0
+
+
+def test_counts_over_more_characters_than_small_numbers(model):
+    letters = [chr(c) for c in range(0x21, 0x20000) if not 0xD800 <= c < 0xE000][:60_000]
+    random.Random(4).shuffle(letters)
+    texts = ["".join(letters[i : i + 50]) for i in range(0, len(letters), 50)] + hard_texts()
+    counter = transducer.CountTransducer(model)
+    assert counter.count(texts).tolist() == [len(i) for i in LIBRARY.encode(texts)]
+    assert len(counter.letters) <= len(model.known) + 5
+    cells = 1 << 21
+    tight = transducer.CountTransducer(model, max_cells=cells)
+    texts = hard_texts()
+    for part in (texts, texts[::-1]):
+        assert tight.count(part).tolist() == [len(i) for i in LIBRARY.encode(part)]
+        assert tight.next.size <= 2 * cells
+
+
+def test_states_are_bounded_inside_a_slice(model, monkeypatch):
+    made = []
+    shrink = transducer.CountTransducer.shrink
+    monkeypatch.setattr(transducer.CountTransducer, "shrink", lambda self, s: made.append(len(self.keys)) or shrink(self, s))
+    texts = hard_texts()
+    small = transducer.CountTransducer(model, max_states=200)
+    assert small.count(texts).tolist() == [len(i) for i in LIBRARY.encode(texts)]
+    assert made
