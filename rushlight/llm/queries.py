@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rushlight.llm import blocks, chat, darts, exact, linkgraph, mixing, pieces, quality, toxicity, transducer
+from rushlight.llm import blocks, chat, darts, exact, linkgraph, mixing, pieces, quality, suffixes, toxicity, transducer
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -114,3 +114,26 @@ def op10_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixed.join(sizes, mixed["source"].eqNullSafe(sizes["source"])).select(
         "doc_id", "size", "source_size", F.col("pattern_target").alias("target"), "taken"
     )
+
+
+@query(
+    "op12_substring_dedup",
+    r"""
+    WITH t AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), x -> x <> '') AS ws
+               FROM documents),
+         w AS (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS pos FROM t),
+         s AS (SELECT doc_id, pos, md5(array_to_string(list(word) OVER ahead, ' ')) AS h, count(*) OVER ahead AS n
+               FROM w WINDOW ahead AS (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN CURRENT ROW AND 49 FOLLOWING)),
+         lo AS (SELECT h, min(doc_id) AS lo FROM s WHERE n = 50 GROUP BY h),
+         gone AS (SELECT DISTINCT doc_id, unnest(range(pos, pos + 50)) AS pos FROM s JOIN lo USING (h) WHERE n = 50 AND doc_id > lo),
+         kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY pos) AS body, count(*) AS n
+                  FROM w ANTI JOIN gone USING (doc_id, pos) GROUP BY doc_id)
+    SELECT t.doc_id, len(ws) AS n_words, len(ws) - coalesce(n, 0) AS n_removed, sha256(coalesce(body, '')) AS kept_sha256
+    FROM t LEFT JOIN kept USING (doc_id)
+    """,
+)
+def op12_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    made = suffixes.remove_repeats(table(spark, folder, "documents").select("doc_id", "text"))
+    return made.select(
+        "doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256")
+    )
