@@ -119,7 +119,7 @@ def op10_mixing(spark: SparkSession, folder: str) -> DataFrame:
 @query(
     "op12_substring_dedup",
     r"""
-    WITH t AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), x -> x <> '') AS ws
+    WITH t AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws
                FROM documents),
          w AS (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS pos FROM t),
          s AS (SELECT doc_id, pos, md5(array_to_string(list(word) OVER ahead, ' ')) AS h, count(*) OVER ahead AS n
