@@ -7,6 +7,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -14,6 +15,8 @@ from rushlight.plans.sizing import settle
 
 WINDOW = 50  # words of a passage
 GRAM = 8  # words hashed to choose where suffixes start
+PIECE = 1 << 20  # bytes of text a task works on at a time; a longer text is worked on by itself
+CODED = 50_000  # words coded at a time
 GROUP = 20_000  # distinct stretches of a group whose tree is built in memory; larger groups take longer prefixes
 SHORT = 9  # words of the shortest prefix
 LAST = 2**63 - 1  # stands for a null id: after all others
@@ -61,17 +64,30 @@ def words_of(texts: pa.Array) -> Words:
     stops = ink.copy()
     stops[:-1] &= ~ink[1:] | edge[1 : len(body)]
     end = np.flatnonzero(stops) + 1
+    codes = np.empty(len(start), np.uint64)
     length = end - start
-    bytes_at = np.flatnonzero(ink)
-    place = np.arange(len(bytes_at)) - np.repeat(np.cumsum(length) - length, length)
-    with np.errstate(over="ignore"):
-        turns = mix64(np.arange(1, int(length.max()) + 1, dtype=np.uint64) * _STEP) | np.uint64(1)
-        weighed = turns[place] * (body[bytes_at].astype(np.uint64) + np.uint64(1))
-        codes = mix64(np.add.reduceat(weighed, np.cumsum(length) - length) + length.astype(np.uint64) * _STEP)
+    turns = mix64(np.arange(1, int(length.max()) + 1, dtype=np.uint64) * _STEP) | np.uint64(1)
+    for low in range(0, len(start), CODED):
+        part = length[low : low + CODED]
+        before = np.cumsum(part) - part
+        place = np.arange(int(part.sum())) - np.repeat(before, part)
+        with np.errstate(over="ignore"):
+            weighed = turns[place] * (body[np.repeat(start[low : low + CODED], part) + place].astype(np.uint64) + np.uint64(1))
+            codes[low : low + CODED] = mix64(np.add.reduceat(weighed, before) + part.astype(np.uint64) * _STEP)
     counts = np.diff(np.searchsorted(start, offsets))
     return Words(body, start, end, codes, counts)
 
 
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches cut to about ``PIECE`` bytes of text."""
+    for batch in batches:
+        sizes = pc.fill_null(pc.binary_length(batch["text"]), 0).to_numpy()
+        part = np.cumsum(sizes) // PIECE
+        cuts = np.r_[0, np.flatnonzero(part[1:] != part[:-1]) + 1, len(batch)] if len(batch) else []
+        for low, high in zip(cuts[:-1], cuts[1:]):
+            yield batch.slice(low, high - low)
+
+
 _INK = np.ones(256, bool)
 _INK[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = False
 
@@ -166,7 +182,7 @@ def _prefix_keys(window: int):
     """(key, doc): the prefix keys of each document's suffixes."""
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _pieces(batches):
             words = words_of(batch["text"])
             starts = suffix_starts(words.codes, words.counts, window, _reach(window))
             key, _ = _stretch_hashes(words.codes, starts, window)
@@ -181,7 +197,7 @@ def _suffixes(window: int):
     """(key, stretch, doc, row, place): every suffix; place packs the first window and how many there are."""
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _pieces(batches):
             words = words_of(batch["text"])
             starts = suffix_starts(words.codes, words.counts, window, _reach(window))
             key, stretch = _stretch_hashes(words.codes, starts, window)
@@ -204,7 +220,7 @@ def _stretches(window: int):
     """Words of the wanted stretches, as rows for trees, or one row per window where a group went beyond any prefix."""
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _pieces(batches):
             words = words_of(batch["text"])
             owner, wanted = _lists(batch["wanted"])
             place, group, key, stretch = (wanted.field(c).to_numpy() for c in ("place", "group", "key", "stretch"))
@@ -313,7 +329,7 @@ def _cut(window: int):
     """Rows with the words outside the marked windows."""
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _pieces(batches):
             words = words_of(batch["text"])
             base = np.cumsum(words.counts) - words.counts
             owner, marks = _lists(batch["marks"])
