@@ -164,12 +164,17 @@ gravity_v AS (SELECT *, v.x / sqrt(v.x * v.x + v.y * v.y + v.z * v.z) AS gx, v.y
 
 
 def sensors(spark, folder):
+    return sensor_columns(events(spark, folder))
+
+
+def sensor_columns(rows, *more):
     kind = (
         F.when(F.col("event_type") == "click", "rotation")
         .when(F.col("event_type").isin("purchase", "error"), "accel")
         .otherwise("gyro")
     )
-    return events(spark, folder).select(
+    return rows.select(
+        *more,
         "capture_id",
         "event_id",
         (F.col("t") * 1000).alias("t_ns"),

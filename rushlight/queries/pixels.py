@@ -18,11 +18,15 @@ pixels_v AS (SELECT label, vec_id, frame, n, i // 8 AS y, i % 8 AS x, g[i + 1] A
 
 
 def grey(spark, folder):
+    return grey_planes(table(spark, folder, "embeddings"))
+
+
+def grey_planes(rows):
     level = F.transform(
         "embedding",
         lambda e: F.lpad(F.hex(F.rint(F.greatest(F.lit(0.0), F.least(F.lit(1.0), e.cast("double") + 0.5)) * 255).cast("int")), 2, "0"),
     )
-    return table(spark, folder, "embeddings").select(
+    return rows.select(
         F.col("label").alias("capture_id"), F.col("vec_id").alias("frame"), F.unhex(F.array_join(level, "")).alias("gray"),
         F.lit(8).alias("height"), F.lit(8).alias("width"),
     )
@@ -105,15 +109,18 @@ mid_v AS (SELECT *, quantile_cont(vol, 0.5) OVER w AS mid, count(*) OVER w AS se
 blur_v AS (SELECT label, vec_id, seen >= 9 AND mid > 0 AND vol / mid < 0.9 AS blurred FROM mid_v)"""
 
 
-@query(
-    "win8_select_frames",
-    f"""WITH RECURSIVE {PIXELS}, {HIST}, {BLUR}, {KEEP},
+SELECT_WALK = f"""WITH RECURSIVE {PIXELS}, {HIST}, {BLUR}, {KEEP},
     pairs AS (SELECT a.vec_id AS a, b.vec_id AS b FROM blur_v a JOIN blur_v b ON a.label = b.label AND b.vec_id < a.vec_id), {correlation_sql("pairs")},
     dup_v AS MATERIALIZED (SELECT c.a, c.b, c.c > 0.2 AND m.m < 40 AS dup FROM corr_v c JOIN motion_v m ON c.a = m.a AND c.b = m.b),
     walk AS (SELECT label, rn, vec_id, NOT blurred AS kept, CASE WHEN blurred THEN NULL ELSE vec_id END AS last FROM cand WHERE rn = 1
       UNION ALL SELECT c.label, c.rn, c.vec_id, NOT c.blurred AND NOT coalesce(d.dup, FALSE),
         CASE WHEN NOT c.blurred AND NOT coalesce(d.dup, FALSE) THEN c.vec_id ELSE w.last END
-      FROM walk w JOIN cand c ON c.label = w.label AND c.rn = w.rn + 1 LEFT JOIN dup_v d ON d.a = c.vec_id AND d.b = w.last),
+      FROM walk w JOIN cand c ON c.label = w.label AND c.rn = w.rn + 1 LEFT JOIN dup_v d ON d.a = c.vec_id AND d.b = w.last)"""
+
+
+@query(
+    "win8_select_frames",
+    f"""{SELECT_WALK},
     numbered AS (SELECT *, sum(CASE WHEN kept THEN 1 ELSE 0 END) OVER (PARTITION BY label ORDER BY rn) AS k FROM walk)
     SELECT n.vec_id AS frame, blurred, NOT blurred AND NOT kept AS duplicate, kept,
       CASE WHEN kept THEN 'frames/images/frame_' || lpad(CAST(k AS VARCHAR), 6, '0') || '.jpg' END AS file

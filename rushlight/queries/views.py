@@ -24,7 +24,12 @@ def micros(column: str) -> Column:
 
 def events(spark: SparkSession, folder: str) -> DataFrame:
     """The sensor stream: user = capture, micros = sample time, k = integer payload."""
-    return table(spark, folder, "events").select(
+    return event_columns(table(spark, folder, "events"))
+
+
+def event_columns(rows: DataFrame, *more: Column) -> DataFrame:
+    return rows.select(
+        *more,
         F.col("user_id").alias("capture_id"),
         "event_id",
         micros("ts").alias("t"),

@@ -1,158 +1,10 @@
-"""Per-capture state steps shared by batch replays and streams.
-
-A step takes the state of one capture and a time-ordered frame of new rows, returns the output
-rows and leaves the state ready for the next call. States are small dictionaries.
-"""
+"""The scripted take as a state step over protocol ticks, for its batch replay and its stream."""
 
 from __future__ import annotations
 
-import math
-from collections import deque
-
 import numpy as np
 import pandas as pd
 
-from rushlight.functions import pixels
-from rushlight.operators.frames import SELECT_BLURRY_BELOW, SELECT_CORRELATION, SELECT_MAX_DIFF
-from rushlight.operators.motion import (
-    CONE_SAFETY,
-    GRAVITY_ALPHA,
-    MAX_STEP_NS,
-    ORBIT_M_S2,
-    RATE_WINDOW,
-    REST_WINDOW,
-    SWEEP_RAD_S,
-)
-from rushlight.operators.telemetry import ROLLING_WARMUP, ROLLING_WINDOW
-
-# Rest detector.
-GYRO_REST_RAD_S = 0.03
-ACCEL_REST_M_S2 = 0.25
-MAX_TILT_DEG = 1.0
-BIAS_ALPHA = 0.002
-
-
-def _rms(values) -> float:
-    return math.sqrt(sum(v * v for v in values) / len(values)) if values else 0.0
-
-
-def _angle(a: np.ndarray, b: np.ndarray) -> float:
-    size = np.linalg.norm(a) * np.linalg.norm(b)
-    return math.degrees(math.acos(max(-1.0, min(1.0, float(a @ b) / size)))) if size > 0 else 0.0
-
-
-# -- rest detector ----------------------------------------------------------------------
-STILLNESS_SCHEMA = (
-    "capture_id {key}, t_ns long, gyro_rms double, accel_rms double, tilt_deg double, max_tilt_deg double, at_rest boolean, "
-    "rest_for_ms long, disturbed boolean, residual_deg double"
-)
-
-
-def stillness_start() -> dict:
-    return {
-        "bias": np.zeros(3),
-        "gravity": None,
-        "reference": None,
-        "gyro": deque(maxlen=REST_WINDOW),
-        "accel": deque(maxlen=REST_WINDOW),
-        "tilt": 0.0,
-        "max_tilt": 0.0,
-        "since": None,
-        "disturbed": False,
-        "residual": 0.0,
-        "last": None,
-    }
-
-
-def stillness_step(s: dict, rows: pd.DataFrame) -> pd.DataFrame:
-    """Rows carry ``sensor`` gyro, accel or mark; a mark freezes the pose rest is judged against."""
-    out = []
-    for key, t, sensor, x, y, z in zip(rows["capture_id"], rows["t_ns"], rows["sensor"], rows["x"], rows["y"], rows["z"], strict=True):
-        if sensor == "mark":
-            if s["gravity"] is not None:
-                s.update(reference=s["gravity"].copy(), tilt=0.0, max_tilt=0.0, disturbed=False, residual=0.0, last=None)
-            continue
-        v = np.array([x, y, z])
-        held = s["reference"] is not None
-        if sensor == "gyro":
-            if not held and np.linalg.norm(v - s["bias"]) < 2 * GYRO_REST_RAD_S:
-                s["bias"] = s["bias"] + BIAS_ALPHA * (v - s["bias"])
-            speed = float(np.linalg.norm(v - s["bias"]))
-            if held:
-                step = 0 if s["last"] is None else t - s["last"]
-                if 0 < step <= MAX_STEP_NS:
-                    s["residual"] += speed * step / 1e9
-                s["last"] = t
-            s["gyro"].append(speed)
-        else:
-            s["gravity"] = v if s["gravity"] is None else s["gravity"] + GRAVITY_ALPHA * (v - s["gravity"])
-            s["accel"].append(abs(float(np.linalg.norm(v)) - float(np.linalg.norm(s["gravity"]))))
-            if held:
-                s["tilt"] = _angle(s["gravity"], s["reference"])
-                s["max_tilt"] = max(s["max_tilt"], s["tilt"])
-                s["disturbed"] |= s["tilt"] > MAX_TILT_DEG
-        gyro, accel = _rms(s["gyro"]), _rms(s["accel"])
-        quiet = bool(s["gyro"]) and bool(s["accel"]) and gyro < GYRO_REST_RAD_S and accel < ACCEL_REST_M_S2
-        if quiet:
-            s["since"] = t if s["since"] is None else s["since"]
-        else:
-            s["since"] = None
-            s["disturbed"] |= held
-        rest = 0 if s["since"] is None else max(0, int(t - s["since"]) // 1_000_000)
-        out.append((key, t, gyro, accel, s["tilt"], s["max_tilt"], quiet, rest, s["disturbed"], math.degrees(s["residual"])))
-    return pd.DataFrame(
-        out,
-        columns=["capture_id", "t_ns", "gyro_rms", "accel_rms", "tilt_deg", "max_tilt_deg", "at_rest", "rest_for_ms", "disturbed", "residual_deg"],
-    )
-
-
-# -- sweep tracker ----------------------------------------------------------------------
-SWEEP_SCHEMA = (
-    "capture_id {key}, t_ns long, heading_deg double, left_deg double, right_deg double, swept_deg double, implied_cone_deg double, "
-    "orbit_samples long, pan_samples long, orbit_likely boolean"
-)
-
-
-def sweep_start() -> dict:
-    return {"low": None, "gravity": None, "rotated": False, "last": None, "heading": 0.0, "lo": 0.0, "hi": 0.0, "orbit": 0, "pan": 0}
-
-
-def sweep_step(s: dict, rows: pd.DataFrame) -> pd.DataFrame:
-    """Live sweep: one row per gyro sample. Rotation rows hold a rotation vector in x, y, z."""
-    out = []
-    for key, t, sensor, x, y, z in zip(rows["capture_id"], rows["t_ns"], rows["sensor"], rows["x"], rows["y"], rows["z"], strict=True):
-        v = np.array([x, y, z])
-        if sensor == "rotation":
-            w = math.sqrt(max(1 - float(v @ v), 0.0))
-            down = -np.array([2 * (x * z - w * y), 2 * (y * z + w * x), 1 - 2 * (x * x + y * y)])
-            if np.linalg.norm(down) > 0:
-                s.update(gravity=down / np.linalg.norm(down), rotated=True)
-            continue
-        if sensor == "accel":
-            s["low"] = v if s["low"] is None else s["low"] + GRAVITY_ALPHA * (v - s["low"])
-            size = np.linalg.norm(s["low"])
-            if not s["rotated"] and size > 0:
-                s["gravity"] = -s["low"] / size
-            if s["rotated"]:
-                across = np.linalg.norm(v - (v @ s["gravity"]) * s["gravity"])
-                s["orbit" if across > ORBIT_M_S2 else "pan"] += 1
-            continue
-        before, s["last"] = s["last"], t
-        if before is not None and s["gravity"] is not None and 0 < t - before <= MAX_STEP_NS:
-            yaw = float(v @ s["gravity"])
-            if abs(yaw) >= SWEEP_RAD_S:
-                s["heading"] += yaw * (t - before) / 1e9
-                s["lo"], s["hi"] = min(s["lo"], s["heading"]), max(s["hi"], s["heading"])
-        left, right = math.degrees(s["hi"]), math.degrees(-s["lo"])
-        likely = not s["rotated"] or s["orbit"] > s["pan"]
-        out.append((key, t, -math.degrees(s["heading"]), left, right, left + right, min(left, right) * CONE_SAFETY, s["orbit"], s["pan"], likely))
-    return pd.DataFrame(
-        out,
-        columns=["capture_id", "t_ns", "heading_deg", "left_deg", "right_deg", "swept_deg", "implied_cone_deg", "orbit_samples", "pan_samples", "orbit_likely"],
-    )
-
-
-# -- scripted phases --------------------------------------------------------------------
 # The scripted take (seconds, ceiling, how the phase ends) and its limits.
 SCRIPT = (("perch", 2, 8, "rest"), ("arc", 12, 20, "sweep"), ("reseat", 3, 12, "settle"), ("hold", 3, 3, "moves"))
 ARC_FLOOR_DEG = 40
@@ -262,97 +114,3 @@ def phase_step(s: dict, rows: pd.DataFrame) -> pd.DataFrame:
          "rest_confirmed": confirmed, "transitions": moves, "finished": finished, "aborted": aborted}
     )
     return made.astype({"countdown_ms": "Int64"})
-
-
-# -- locks, rate, frame selection -------------------------------------------------------
-LOCK_SCHEMA = "capture_id {key}, t_ns long, kind string, detail string, checked long, matched long"
-
-
-def lock_start() -> dict:
-    return {"lens": None, "crop": None, "seen": set(), "checked": 0, "matched": 0}
-
-
-def lock_step(s: dict, rows: pd.DataFrame) -> pd.DataFrame:
-    """First deviation of each kind, with the exposure counters so far.
-
-    Rows: t_ns, physical_id, exposure_ns, requested_ns, awb_manual (False when the mode is not
-    the manual one that was asked for), crop (text).
-    """
-    out = []
-
-    def report(key, t, kind, detail):
-        if kind not in s["seen"]:
-            s["seen"].add(kind)
-            out.append((key, t, kind, detail, s["checked"], s["matched"]))
-
-    for key, t, lens, exposure, wanted, manual, crop in zip(
-        rows["capture_id"], rows["t_ns"], rows["physical_id"], rows["exposure_ns"], rows["requested_ns"], rows["awb_manual"], rows["crop"], strict=True
-    ):
-        if lens is not None:
-            s["lens"] = lens if s["lens"] is None else s["lens"]
-            if lens != s["lens"]:
-                report(key, t, "lens_switch", f"{s['lens']} -> {lens}")
-        if not (pd.isna(exposure) or pd.isna(wanted)):
-            s["checked"] += 1
-            if abs(exposure - wanted) > wanted // 50:
-                report(key, t, "exposure_drift", f"requested {int(wanted)} ns, got {int(exposure)}")
-            else:
-                s["matched"] += 1
-        if manual is not None and not pd.isna(manual) and not manual:
-            report(key, t, "awb_not_manual", "requested OFF")
-        if crop is not None:
-            s["crop"] = crop if s["crop"] is None else s["crop"]
-            if crop != s["crop"]:
-                report(key, t, "crop_changed", f"{s['crop']} -> {crop}")
-    return pd.DataFrame(out, columns=["capture_id", "t_ns", "kind", "detail", "checked", "matched"])
-
-
-RATE_SCHEMA = "capture_id {key}, t_ns long, angular_rate double, blur_px double"
-
-
-def rate_start() -> dict:
-    return {"window": deque(maxlen=RATE_WINDOW)}
-
-
-def rate_step(s: dict, rows: pd.DataFrame) -> pd.DataFrame:
-    """Smoothed angular speed and predicted smear. Rows: t_ns, speed, exposure_s, focal_px."""
-    out = []
-    for key, t, speed, exposure, focal in zip(rows["capture_id"], rows["t_ns"], rows["speed"], rows["exposure_s"], rows["focal_px"], strict=True):
-        s["window"].append(speed)
-        rate = sum(s["window"]) / len(s["window"])
-        out.append((key, t, rate, abs(rate) * exposure * focal if exposure > 0 and focal > 0 else 0.0))
-    return pd.DataFrame(out, columns=["capture_id", "t_ns", "angular_rate", "blur_px"])
-
-
-SELECT_SCHEMA = "capture_id {key}, frame long, blur_vol double, blur_relative double, motion_diff double, hist_correlation double, blurred boolean, duplicate boolean, kept boolean"
-
-
-def select_start() -> dict:
-    return {"vols": deque(maxlen=ROLLING_WINDOW), "gray": None, "hist": None}
-
-
-def select_step(
-    s: dict, rows: pd.DataFrame, blur: float = SELECT_BLURRY_BELOW, correlation: float = SELECT_CORRELATION, max_diff: float = SELECT_MAX_DIFF
-) -> pd.DataFrame:
-    """Online frame selection on grey planes (frame, gray, height, width)."""
-    out = []
-    for key, frame, gray, high, wide in zip(rows["capture_id"], rows["frame"], rows["gray"], rows["height"], rows["width"], strict=True):
-        image = pixels.as_image(gray, high, wide)
-        hist, vol = pixels.histogram(image), pixels.laplacian_variance(image)
-        s["vols"].append(vol)
-        middle = float(np.median(s["vols"]))
-        ready = len(s["vols"]) >= ROLLING_WARMUP
-        relative = vol / middle if ready and middle > 0 else 1.0
-        same = s["gray"] is not None and s["gray"].shape == image.shape
-        motion = pixels.mean_difference(image, s["gray"]) if same else None
-        alike = pixels.correlation(hist, s["hist"]) if s["hist"] is not None else None
-        blurred = ready and relative < blur
-        repeats = not blurred and alike is not None and motion is not None and alike > correlation and motion < max_diff
-        kept = not blurred and not repeats
-        if kept:
-            s.update(gray=image.copy(), hist=hist)
-        out.append((key, frame, vol, relative, motion, alike, blurred, repeats, kept))
-    made = pd.DataFrame(
-        out, columns=["capture_id", "frame", "blur_vol", "blur_relative", "motion_diff", "hist_correlation", "blurred", "duplicate", "kept"]
-    )
-    return made.astype({"motion_diff": "float64", "hist_correlation": "float64"})

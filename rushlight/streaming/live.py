@@ -1,77 +1,136 @@
-"""Structured Streaming jobs: stateful folds, ingest, windowed health."""
+"""Structured Streaming jobs: stateful detectors, ingest, windowed health."""
 
 from __future__ import annotations
 
-import pickle
 from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.types import StructType
 
 from rushlight.plans.fold import ordered_fold
 from rushlight.streaming import folds
+from rushlight.streaming.detectors import DETECTORS
 
 DEFAULT_WATERMARK = "2 seconds"
-# name -> (start, step, output schema, time column)
-FOLDS = {
-    "stillness": (folds.stillness_start, folds.stillness_step, folds.STILLNESS_SCHEMA, "t_ns"),
-    "sweep": (folds.sweep_start, folds.sweep_step, folds.SWEEP_SCHEMA, "t_ns"),
-    "phases": (folds.phase_start, folds.phase_step, folds.PHASE_SCHEMA, "t_ms"),
-    "locks": (folds.lock_start, folds.lock_step, folds.LOCK_SCHEMA, "t_ns"),
-    "rate": (folds.rate_start, folds.rate_step, folds.RATE_SCHEMA, "t_ns"),
-    "select": (folds.select_start, folds.select_step, folds.SELECT_SCHEMA, "frame"),
-}
+DEFAULT_IDLE_MS = 600_000
+STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def _schema(rows: DataFrame, text: str) -> str:
-    return text.format(key=dict(rows.dtypes)["capture_id"])
+def replay_phases(ticks: DataFrame, ties: list[str] | None = None) -> DataFrame:
+    """Batch form of the scripted take: every capture walked in time order, one Arrow batch in memory."""
+    schema = folds.PHASE_SCHEMA.format(key=dict(ticks.dtypes)["capture_id"])
+    return ordered_fold(ticks, "capture_id", ["t_ms", *(ties or [])], folds.phase_start, folds.phase_step, schema)
 
 
-def replay(rows: DataFrame, name: str, ties: list[str] | None = None) -> DataFrame:
-    """Batch form of a fold: every capture walked in time order, one Arrow batch in memory."""
-    start, step, schema, time = FOLDS[name]
-    return ordered_fold(rows, "capture_id", [time, *(ties or [])], start, step, _schema(rows, schema))
+class OrderedWalk(StatefulProcessor):
+    """Walks each capture's rows in time order once the watermark has passed them.
 
-
-def live(rows: DataFrame, name: str, event_time: str, ties: list[str] | None = None, watermark: str = DEFAULT_WATERMARK) -> DataFrame:
-    """Streaming form of the same fold.
-
-    Rows newer than the watermark wait in the state and are walked in time order once it has
-    passed them, so late arrivals within the watermark change nothing; older ones are dropped by
-    the engine. A capture that goes quiet is flushed by a timeout on its last row.
+    State, all typed and bounded: ``waiting`` holds the rows the watermark has not reached (a list, appended to and
+    taken out when due), ``kept`` what the detector carries, ``alarm`` the timer that is set and when a row was last
+    seen. A timer goes off at the earliest waiting row; a capture silent for ``idle_ms`` of event time beyond the watermark is
+    forgotten, and begins anew if it comes back.
     """
-    start, step, schema, time = FOLDS[name]
-    order = [time, *(ties or [])]
-    columns = [c for c in rows.columns if c != event_time]
-    # the engine needs the event time as a timestamp; the fold needs to compare it as a number
-    timed = rows.withWatermark(event_time, watermark).withColumn("_ms", F.unix_millis(event_time))
-
-    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        kept, waiting = pickle.loads(state.get[0]) if state.exists else (start(), None)
-        frames = [waiting] if waiting is not None else []
-        if not state.hasTimedOut:
-            frames += [b[[*columns, "_ms"]] for b in batches]
-        rows_now = pd.concat(frames, ignore_index=True) if frames else None
-        if rows_now is None or rows_now.empty:
-            state.update((pickle.dumps((kept, None)),))
+
+    def __init__(self, detector, rows: StructType, order: list[str], idle_ms: int, whole: list[str]):
+        self.detector, self.rows, self.order, self.idle_ms, self.whole = detector, rows, order, idle_ms, whole
+        self.columns = rows.fieldNames()
+        self.fields = [f.split()[0] for f in detector.state.split(", ")]
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", self.rows)
+        self.kept = handle.getValueState("kept", self.detector.state)
+        self.alarm = handle.getValueState("alarm", "at long, seen long")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        at, seen = self.alarm.get() if self.alarm.exists() else (None, 0)
+        first = None
+        for batch in rows:
+            batch = batch[self.columns]
+            plain = batch.astype(object).where(batch.notna(), None)
+            self.waiting.appendList(list(plain.itertuples(index=False, name=None)))
+            low, high = int(batch["event_ms"].min()), int(batch["event_ms"].max())
+            first, seen = low if first is None else min(first, low), max(seen, high)
+        self._set(at, first, seen)
+        return iter(())
+
+    def _set(self, at: int | None, wanted: int, seen: int) -> None:
+        if at is None or wanted < at:
+            if at is not None:
+                self.handle.deleteTimer(at)
+            self.handle.registerTimer(wanted)
+            at = wanted
+        self.alarm.update((at, seen))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        mark = timerValues.getCurrentWatermarkInMs()
+        _, seen = self.alarm.get()
+        waiting = pd.DataFrame(list(self.waiting.get()), columns=self.columns)
+        due = waiting["event_ms"].to_numpy("int64") <= mark
+        ready, later = waiting[due].copy(), waiting[~due]
+        if ready.empty and later.empty:
+            for state in (self.waiting, self.kept, self.alarm):
+                state.clear()
             return
-        rows_now = rows_now.sort_values(order, kind="stable")
-        mark = state.getCurrentWatermarkMs()
-        due = rows_now["_ms"] <= mark
-        ready, later = rows_now[due], rows_now[~due]
-        made = step(kept, ready.drop(columns="_ms")) if len(ready) else None
-        state.update((pickle.dumps((kept, later if len(later) else None)),))
         if len(later):
-            state.setTimeoutTimestamp(int(max(later["_ms"].min(), mark + 1)))
-        if made is not None and len(made):
-            yield made
-
-    return timed.groupBy("capture_id").applyInPandasWithState(
-        run, _schema(rows, schema), "state binary", "append", GroupStateTimeout.EventTimeTimeout
-    )
+            self.waiting.put([tuple(r) for r in later.itertuples(index=False, name=None)])
+        else:
+            self.waiting.clear()
+        self.alarm.clear()
+        self._set(None, int(later["event_ms"].min()) if len(later) else max(seen, mark) + self.idle_ms, seen)
+        if len(ready):
+            for c in self.whole:
+                ready[c] = pd.array([None if v is None else int(v) for v in ready[c]], "Int64")
+            state = dict(zip(self.fields, self.kept.get())) if self.kept.exists() else self.detector.start()
+            made = self.detector.advance(state, ready.sort_values(self.order, kind="stable").drop(columns="event_ms").reset_index(drop=True))
+            self.kept.update(tuple(state[f] for f in self.fields))
+            if len(made):
+                made.insert(0, "capture_key", key[0])
+                yield made
+
+    def close(self) -> None:
+        pass
+
+
+def live(
+    rows: DataFrame,
+    name: str,
+    event_time: str,
+    ties: list[str] | None = None,
+    watermark: str | None = DEFAULT_WATERMARK,
+    idle_ms: int = DEFAULT_IDLE_MS,
+    **settings,
+) -> DataFrame:
+    """Streaming form of a detector: as its batch form over all rows, whatever the micro-batches.
+
+    Rows newer than the watermark wait in the state and are walked in time order once it has passed them, so late arrivals
+    within it change nothing; older ones are dropped by the engine. ``watermark`` None: the stream has one already.
+    Rows without an event time cannot be placed and are left out. Column names must not begin with an underscore (the
+    engine renames such columns on their way to Python).
+    The engine keeps such state in RocksDB only, which is set here unless the session names a store.
+    """
+    spark, detector = rows.sparkSession, DETECTORS[name](**settings)
+    if "RocksDB" not in spark.conf.get(STATE_STORE, ""):
+        spark.conf.set(STATE_STORE, ROCKS)
+    timed = rows.withColumn("event_ms", F.unix_millis(event_time))
+    timed = timed.withWatermark(event_time, watermark) if watermark else timed
+    timed = timed.filter(F.col("event_ms").isNotNull())
+    # pandas turns integers beside nulls into doubles; as text they stay whole
+    plain = [c for c, kind in timed.dtypes if kind in ("bigint", "int") and c not in ("capture_id", "event_ms")]
+    timed = timed.withColumns({c: F.col(c).cast("string") for c in plain})
+    # keys that may be null become text, since the engine mixes a null key with its neighbours
+    named = F.coalesce(F.concat(F.lit("="), F.col("capture_id").cast("string")), F.lit(""))
+    timed = timed.withColumn("capture_key", named).drop("capture_id")
+    kept = timed.drop(event_time, "capture_key").schema
+    walk = OrderedWalk(detector, kept, [detector.time, *(ties or [])], idle_ms, plain)
+    made = timed.groupBy("capture_key").transformWithStateInPandas(walk, f"capture_key string, {detector.out}", "append", "eventTime")
+    capture = F.when(F.col("capture_key") != "", F.substring("capture_key", 2, 1 << 20)).cast(dict(rows.dtypes)["capture_id"])
+    return made.select(capture.alias("capture_id"), *[c for c in made.columns if c != "capture_key"])
 
 
 def stream_health(samples: DataFrame, event_time: str = "ts", keys: tuple[str, ...] = ("capture_id", "sensor"), window: str = "1 second", watermark: str = DEFAULT_WATERMARK, offset_us: str | None = None) -> DataFrame:

@@ -16,6 +16,7 @@ from rushlight.operators import masks, poses, study
 from rushlight.plans.timeline import Timeline
 from rushlight.sources import manifests, models, sensors, splats
 from rushlight.streaming import folds
+from rushlight.streaming.detectors import Stillness
 
 
 def rotation(q):
@@ -212,13 +213,22 @@ def test_phase_script():
 
 
 def test_rest_detector():
-    state = folds.stillness_start()
-    rows = []
+    detector = Stillness()
+    state, rows = detector.start(), []
     for i in range(800):
         t = i * 5_000_000
         rows.append((1, t, "accel", 0.0, 0.0, 9.81))
         rows.append((1, t, "gyro", 0.004, 0.0, 0.0 if i < 600 else 0.5))
     rows.insert(800, (1, 400 * 5_000_000, "mark", 0.0, 0.0, 0.0))
-    got = folds.stillness_step(state, pd.DataFrame(rows, columns=["capture_id", "t_ns", "sensor", "x", "y", "z"]))
+    got = detector.advance(state, pd.DataFrame(rows, columns=["capture_id", "t_ns", "sensor", "x", "y", "z"]))
     assert got["at_rest"].iloc[700] and got["rest_for_ms"].iloc[700] > 1500 and not got["disturbed"].iloc[1100]
     assert not got["at_rest"].iloc[-1] and got["disturbed"].iloc[-1] and got["residual_deg"].iloc[-1] == pytest.approx(math.degrees(0.5), rel=0.05)
+
+
+def test_rest_detector_on_one_sensor_alone():
+    for sensor in ("gyro", "accel", "mark"):
+        detector = Stillness()
+        state = detector.start()
+        rows = pd.DataFrame([(1, i * 10, sensor, 0.0, 0.0, 1.0) for i in range(3)], columns=["capture_id", "t_ns", "sensor", "x", "y", "z"])
+        made = [detector.advance(state, rows) for _ in range(2)]
+        assert sum(map(len, made)) == (0 if sensor == "mark" else 6) and not any(m["at_rest"].any() for m in made if len(m))
