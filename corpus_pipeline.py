@@ -8,8 +8,6 @@ from __future__ import annotations
 
 import sys
 import uuid
-from collections.abc import Callable
-from functools import wraps
 from pathlib import Path
 
 sys.path.insert(0, str(Path(__file__).resolve().parent))
@@ -19,33 +17,13 @@ from pyspark.sql import Column, DataFrame, SparkSession  # noqa: E402
 from pyspark.sql import functions as F  # noqa: E402
 
 from rushlight.llm import darts, exact, mixing, pieces, quality  # noqa: E402
-from rushlight.plans.sizing import release, settle, settled, shared_folder  # noqa: E402
+from rushlight.plans.sizing import delete, release, settle, shared_folder, tables_made  # noqa: E402
 from rushlight.shipping import ship  # noqa: E402
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 MODEL = public_tokenizers.path("piece_bpe_32k.model")
 
 
-_made: dict[str, list[str]] = {}
-
-Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
-
-
-def _frees_the_last(stage: Stage) -> Stage:
-    """A stage begins when its predecessor's rows are written: then the tables that made them can go."""
-
-    @wraps(stage)
-    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        app = spark.sparkContext.applicationId
-        release(spark, _made.pop(app, []))
-        before = set(settled(spark))
-        made = stage(spark, docs, sf_dir)
-        _made[app] = [p for p in settled(spark) if p not in before]
-        return made
-
-    return run_stage
-
-
 def _row_digest() -> Column:
     """Digest of all of a row's columns, each with its length before it, so that only equal rows have equal digests."""
     parts = [F.col(c).cast("string") for c in COLUMNS]
@@ -62,14 +40,12 @@ def _one_row_each(docs: DataFrame, keys: list[str], stays: DataFrame) -> DataFra
     return single.join(stays.hint("merge"), keys, "left_semi").select("_kept.*").select(*COLUMNS)
 
 
-@_frees_the_last
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rules and the risk-controlled cutoffs of their language."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     return quality.judge_quality(docs, labels).filter("kept").select(*COLUMNS)
 
 
-@_frees_the_last
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts one row: that with the smallest doc_id (null last), then with the smallest digest of the row."""
 
@@ -81,24 +57,26 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         ]
 
     keys = ["_none", "_id", "_sha"]
-    stays = settle(exact.exact_groups(docs).filter("kept").select(*named(F.col("text_sha256"))).distinct())
+    with tables_made() as used:
+        stays = settle(exact.exact_groups(docs).filter("kept").select(*named(F.col("text_sha256"))).distinct())
+    release(spark, used[:-1])  # written: nothing reads the tables any more that led to it
     sha = F.sha2(exact.normalised(F.col("text")).cast("binary"), 256)
     return _one_row_each(docs.select(*named(sha), _row_digest().alias("_row"), *COLUMNS), keys, stays)
 
 
-@_frees_the_last
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of every class of near duplicates: that with the smallest doc_id (null last), then the smallest digest."""
     ship(spark)
     # rows go by id and digest, which are never null as a whole: null ids are linked, and two texts of one id are two
     place = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("_row").alias("row"))
     rows = docs.select(*COLUMNS, _row_digest().alias("_row"))
-    verdicts = darts.near_duplicates(rows.select("text", place.alias("place")), key="place")
-    stays = settle(verdicts.filter("kept").select(F.col("place.row").alias("_row")).distinct())
+    with tables_made() as used:
+        verdicts = darts.near_duplicates(rows.select("text", place.alias("place")), key="place")
+        stays = settle(verdicts.filter("kept").select(F.col("place.row").alias("_row")).distinct())
+    release(spark, used[:-1])
     return _one_row_each(rows, ["_row"], stays)
 
 
-@_frees_the_last
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix reads them: none, one or two rows each."""
     mixed = mixing.mix_sources(docs, F.array("source"))
@@ -106,7 +84,6 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixed.select(*COLUMNS, F.explode(F.array_repeat(F.lit(0), times.cast("int")))).select(*COLUMNS)
 
 
-@_frees_the_last
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Ids of every document with an end id, and the digest of what they decode to."""
     ship(spark)
@@ -134,9 +111,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last stage over all before it. Each stage's tables, and the stage before, go once its result is written."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+    folder, before = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}", None
     for name, stage in STAGES[:-1]:
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
-        docs = spark.read.parquet(f"{folder}/{name}")
+        with tables_made() as used:
+            stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
+        release(spark, used)
+        if before:
+            delete(spark, f"{folder}/{before}")
+        docs, before = spark.read.parquet(f"{folder}/{name}"), name
     return STAGES[-1][1](spark, docs, sf_dir)

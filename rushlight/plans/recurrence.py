@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rushlight.plans.sizing import settle
-from rushlight.plans.timeline import Timeline
+from rushlight.plans.timeline import Timeline, join_keyed
 
 CARRY_TERMS = 4
 
@@ -47,7 +47,7 @@ def ema(df: DataFrame, line: Timeline, smoothed: dict[str, str], alpha: float, s
     carried = sent.groupBy(*keys, (F.col("_chunk") + F.col("_ahead")).alias("_chunk")).agg(
         *[F.sum(scale * F.col(f"_end_{n}")).alias(f"_to_{n}") for n in smoothed]
     )
-    whole = local.join(carried, [*keys, "_chunk"], "left")
+    whole = join_keyed(local, carried, [*keys, "_chunk"])
     return whole.select(
         *df.columns,
         *[

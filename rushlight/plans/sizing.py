@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -85,11 +88,27 @@ def settle(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/rushlight-{uuid.uuid4().hex}"
     _settled.setdefault(spark.sparkContext.applicationId, []).append(path)
+    for watcher in _watching.get():
+        watcher.append(path)
     schema = df.schema
     df.write.parquet(path)
     return spark.read.schema(schema).parquet(path)
 
 
+_watching: ContextVar[tuple[list[str], ...]] = ContextVar("watching", default=())
+
+
+@contextmanager
+def tables_made() -> Iterator[list[str]]:
+    """Paths of the tables that are settled inside the ``with`` block, by this thread alone."""
+    mine: list[str] = []
+    token = _watching.set((*_watching.get(), mine))
+    try:
+        yield mine
+    finally:
+        _watching.reset(token)
+
+
 def settled(spark: SparkSession) -> list[str]:
     """Settled tables of this application that are still there, oldest first."""
     return list(_settled.get(spark.sparkContext.applicationId, []))
@@ -100,7 +119,12 @@ def release(spark: SparkSession, paths: list[str] | None = None) -> int:
     known = _settled.get(spark.sparkContext.applicationId, [])
     gone = list(known) if paths is None else [p for p in paths if p in known]
     for path in gone:
-        where = spark._jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+        delete(spark, path)
         known.remove(path)
     return len(gone)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete a folder that this application wrote, wherever it lies."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)

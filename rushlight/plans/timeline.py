@@ -17,6 +17,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass, replace
+from functools import reduce
 
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
@@ -33,6 +34,13 @@ def axis_number(df: DataFrame, name: str) -> Column:
     return F.col(name).cast("double")
 
 
+def join_keyed(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """Left join on keys where a null key is a key of its own."""
+    renamed = right.withColumnsRenamed({k: f"_right_{k}" for k in keys})
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_right_{k}")) for k in keys])
+    return left.join(renamed, same, "left").drop(*[f"_right_{k}" for k in keys])
+
+
 @dataclass(frozen=True)
 class Timeline:
     keys: tuple[str, ...]
@@ -102,7 +110,7 @@ class Timeline:
         )
 
     def _rejoin(self, left: DataFrame, blocks: DataFrame) -> DataFrame:
-        return left.join(blocks, [*self.keys, "_block"], "left")
+        return join_keyed(left, blocks, [*self.keys, "_block"])
 
     # -- operators --------------------------------------------------------------------
     def number(self, df: DataFrame, name: str = "rn") -> DataFrame:

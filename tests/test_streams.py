@@ -67,7 +67,7 @@ def spread(spark, frame, folder):
     part[frame["t_ns"] == END] = 2
     for _, rows in frame.groupby(part):
         rows = rows.sample(frac=1, random_state=1).astype(object)
-        plain = [[int(v) if c.endswith("_ns") and v is not None else v for c, v in zip(frame, r)] for r in rows.where(rows.notna(), None).values.tolist()]
+        plain = [[int(v) if c.endswith(("_ns", "_id")) and isinstance(v, float) else v for c, v in zip(frame, r)] for r in rows.where(rows.notna(), None).values.tolist()]
         df = spark.createDataFrame(plain, columns(frame))
         df.withColumn("ts", F.timestamp_micros(F.floor(F.col("t_ns") / 1000) + 1_700_000_000_000_000)).coalesce(1).write.mode("append").parquet(folder)
     return spark.read.parquet(folder)
