@@ -15,10 +15,12 @@ from pyspark.sql import functions as F
 
 # -- blocks ---------------------------------------------------------------------------------------------------------
 
+# Attributes as browsers read them: quotes open a string only right after the sign of equality; elsewhere they are letters.
+_ATTRIBUTES = r"""(?:[\s/]++|[^\s/>][^\s/>=]*+(?:\s*+=\s*+(?:"[^"]*+(?:"|\Z)|'[^']*+(?:'|\Z)|[^\s>"'][^\s>]*+)?)?)*+"""
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    r"|<(?P<raw>script|style|noscript|template|svg|textarea|iframe|title)\b(?:\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z)|[^'\">])*(?:>|\Z).*?(?:</(?P=raw)\s*>|\Z)"
-    r"|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<rest>(?:\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z)|[^'\">])*)(?:>|\Z)"
+    rf"|<(?P<raw>script|style|noscript|template|svg|textarea|iframe|title)(?=[\s/>]|\Z){_ATTRIBUTES}(?:>|\Z).*?(?:</(?P=raw)(?=[\s/>]|\Z)[^>]*(?:>|\Z)|\Z)"
+    rf"|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<rest>{_ATTRIBUTES})(?:>|\Z)"
     r"|<[!?/][^>]*(?:>|\Z)",
     re.DOTALL | re.IGNORECASE,
 )
@@ -292,6 +294,7 @@ class BlockLabeller:
 
 SAMPLE_PAGES = 300  # pages, about, that the labeller is trained on
 SAMPLE_CHARS = 200_000  # longest page of the sample
+SAMPLE_BLOCKS = 80  # blocks of one training stretch
 VARIANTS = 4  # layouts that each sampled page's text is put into
 
 #: What common page layouts call their parts: (element, class words). Fixed vocabulary.
@@ -380,7 +383,7 @@ def lay_out(rng: np.random.Generator, paragraphs: list[str], others: list[str],
     return blocks, np.array(labels, np.float32)
 
 
-def train(pages: list[str], variants: int = VARIANTS, seed: int = 5) -> BlockLabeller:
+def train(pages: list[str], variants: int = VARIANTS, seed: int = 5, most: int = SAMPLE_BLOCKS) -> BlockLabeller:
     """A labeller from raw pages: their own layouts where they name a main part, and ``variants`` others of each."""
     rng = np.random.default_rng(seed)
     xs, ys = [], []
@@ -391,14 +394,17 @@ def train(pages: list[str], variants: int = VARIANTS, seed: int = 5) -> BlockLab
             continue
         own = weak_labels(blocks)
         if own is not None:
-            xs.append(features(blocks)[:80])
-            ys.append(own[:80])
+            # a long page is learned from in stretches of its whole length
+            read_as = features(blocks)
+            xs += [read_as[i : i + most] for i in range(0, len(blocks), most)]
+            ys += [own[i : i + most] for i in range(0, len(blocks), most)]
         main = [b.text for b, y in zip(blocks, own if own is not None else np.ones(len(blocks))) if y]
         rest = [b.text for b, y in zip(blocks, own if own is not None else np.zeros(len(blocks))) if not y]
         for _ in range(variants):
             made, labels = lay_out(rng, main[: int(rng.integers(1, 12))], rest + [pool[rng.integers(len(pool))]], main[0])
-            xs.append(features(made)[:80])
-            ys.append(labels[:80])
+            read_as = features(made)
+            xs += [read_as[i : i + most] for i in range(0, len(made), most)]
+            ys += [labels[i : i + most] for i in range(0, len(made), most)]
     model = BlockLabeller()
     if xs:
         model.fit(xs, ys)
@@ -415,6 +421,7 @@ def extract_main_text(
     text: str = "text",
     sample_pages: int = SAMPLE_PAGES,
     sample_chars: int = SAMPLE_CHARS,
+    sample_blocks: int = SAMPLE_BLOCKS,
 ) -> DataFrame:
     """``pages`` without ``page`` but with ``text`` (main text, blocks joined by a line feed), ``n_chars`` (its code
     points) and ``n_blocks`` (blocks taken); one row in, one row out, no shuffle.
@@ -422,7 +429,7 @@ def extract_main_text(
     Every page is read whole into leaf blocks; a bidirectional LSTM reads each block's tag path (hashed names of the
     elements around it, with their class, id and role words), hashed words and measures, and labels all blocks
     of the page together. The labeller is trained on about ``sample_pages`` pages of at most ``sample_chars`` characters,
-    chosen by a hash of the key, on the driver: their own layouts, labelled by the names of their parts, and other
+    chosen by a hash of the key, in stretches of ``sample_blocks`` blocks, on the driver: their own layouts, labelled by the names of their parts, and other
     layouts made of their text. The sample is bounded, fixed by the keys, and only the labeller depends on it.
 
     A null, empty or textless page has the text '' and 0 blocks. Repeated rows each get their text. Columns of ``pages``
@@ -433,22 +440,22 @@ def extract_main_text(
     unit = F.pmod(F.xxhash64(F.col(key), F.lit("blocks")), F.lit(1 << 30)) / float(1 << 30)
     chosen = pages.filter((unit < min(1.0, sample_pages / total)) & (F.length(page) <= sample_chars))
     sample = sorted((r[0], r[1]) for r in chosen.select(F.coalesce(F.col(key).cast("string"), F.lit("")), page).collect())
-    model = spark.sparkContext.broadcast(train([html_text for _, html_text in sample]))
+    model = spark.sparkContext.broadcast(train([html_text for _, html_text in sample], most=sample_blocks))
     added = (text.lower(), "n_chars", "n_blocks")
-    kept = [c for c in pages.columns if c.lower() not in added and c != page]
-    narrow = pages.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{page}`").alias("_page"))
-    schema = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in narrow.schema if f.name != "_page"], f"`{text}` string", "n_chars bigint", "n_blocks int"])
+    kept = [c for c in pages.columns if c.lower() not in added and c.lower() != page.lower()]
+    narrow = pages.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{page}`"))
+    schema = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in narrow.schema.fields[:-1]], f"`{text}` string", "n_chars bigint", "n_blocks int"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         labeller = model.value
         for whole in batches:
             for start in range(0, whole.num_rows, 256):
                 batch = whole.slice(start, 256)
-                read = [read_blocks(p) for p in batch.column("_page").to_pylist()]
+                read = [read_blocks(p) for p in batch.column(len(kept)).to_pylist()]
                 odds = labeller.predict([features(b) for b in read])
                 taken = [[b.text for b, p in zip(blocks, probable) if p >= 0.5] for blocks, probable in zip(read, odds)]
                 texts = ["\n".join(t) for t in taken]
                 made = [pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64()), pa.array(map(len, taken), pa.int32())]
-                yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], *made], [*kept, text, "n_chars", "n_blocks"])
+                yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], *made], [*kept, text, "n_chars", "n_blocks"])
 
     return narrow.mapInArrow(run, schema)

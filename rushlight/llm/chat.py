@@ -125,7 +125,7 @@ def format_windows(
     """
     kind = turns.schema[key].dataType.simpleString()
     rows = turns.select(
-        F.col(key).alias("conv_id"),
+        F.col(key).cast("string").alias("conv_id"),  # as text: pandas makes doubles of whole numbers beside a null
         F.col(order).alias("turn"),
         F.coalesce(F.col(role), F.lit("")).alias("role"),
         F.coalesce(F.col(text), F.lit("")).alias("text"),
@@ -150,7 +150,8 @@ def format_windows(
             yield _frame([state.close()])
 
     ordered = rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
-    return ordered.mapInPandas(run, WINDOW_SCHEMA.format(key=kind))
+    made = ordered.select("conv_id", "role", "text").mapInPandas(run, WINDOW_SCHEMA.format(key="string"))
+    return made.withColumn("conv_id", F.col("conv_id").cast(kind))
 
 
 def _frame(made: list[dict]) -> pd.DataFrame:
@@ -212,7 +213,8 @@ def digest_windows(windows: DataFrame) -> DataFrame:
         if state is not None:
             yield _keyed([finish()], names)
 
-    return windows.mapInPandas(run, DIGEST_SCHEMA.format(key=kind))
+    named = windows.withColumn("conv_id", F.col("conv_id").cast("string"))
+    return named.mapInPandas(run, DIGEST_SCHEMA.format(key="string")).withColumn("conv_id", F.col("conv_id").cast(kind))
 
 
 def _keyed(made: list[tuple], names: list[str]) -> pd.DataFrame:

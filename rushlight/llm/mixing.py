@@ -130,7 +130,8 @@ def mix_sources(
     """
     spark = df.sparkSession
     added = {"size", "pattern", "pattern_target", "taken"}
-    kept = [F.col(f"`{c}`") for c in df.columns if c not in added and not c.startswith("_")]
+    names = [c for c in df.columns if c.lower() not in added]
+    kept = [F.col(f"`{c}`").alias(f"in_{i}") for i, c in enumerate(names)]  # names of the caller meet none of those below
     members = F.when(F.size(F.coalesce(sources, F.array())) == 0, F.array(F.lit(None).cast("string"))).otherwise(sources)
     rows = df.select(
         *kept,
@@ -151,11 +152,11 @@ def mix_sources(
         for s in r["pattern"]:
             sizes[s] = sizes.get(s, 0) + r["words"]
     targets = source_targets(sizes, weights, share, most_repeats)
-    names = sorted(sizes, key=lambda s: (s is None, s or ""))
-    place = {s: i for i, s in enumerate(names)}
+    known = sorted(sizes, key=lambda s: (s is None, s or ""))
+    place = {s: i for i, s in enumerate(known)}
     taken = route(
         {i: ([place[s] for s in r["pattern"]], r["words"]) for i, r in enumerate(found)},
-        [round(targets[s]) for s in names],
+        [round(targets[s]) for s in known],
         most_repeats,
     )
     plan = []
@@ -194,5 +195,5 @@ def mix_sources(
     return (
         rows.join(F.broadcast(limits), "pattern")
         .withColumn("taken", F.col("size") * (F.col("whole") + once_more))
-        .select(*kept, "size", "pattern", "pattern_target", "taken")
+        .select(*[F.col(f"in_{i}").alias(c) for i, c in enumerate(names)], "size", "pattern", "pattern_target", "taken")
     )

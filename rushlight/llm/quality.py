@@ -202,11 +202,16 @@ def judge_quality(
     Texts are read once and counted where they lie; the counts go to shared files, and only counts are shuffled.
     """
     added = "n_words word_chars n_symbols n_lines n_dup_lines n_repeat_words n_capitals n_marks base_failed failed_rules kept".split()
-    kept = [c for c in df.columns if c not in added and not c.startswith("_")]
-    wanted = [c for c in kept if carry is None or c in carry or c in (key, stratum)]
-    counted = measure_texts(df.select(*[F.col(f"`{c}`") for c in kept]), text)
-    measured = settle(counted.select(*[F.col(f"`{c}`") for c in counted.columns if c in wanted or c in added]))
-    cutoffs = fit_cutoffs(measured, labels, key, stratum, label, rules, max_false_rejection, confidence)
+    names = [c for c in df.columns if c.lower() not in added]
+    inner = {c.lower(): f"in_{i}" for i, c in enumerate(names)}  # names of the caller meet none of those below
+    wanted = [c for c in names if carry is None or c in carry]
+    used = {inner[c.lower()] for c in [*wanted, key, stratum]}
+    counted = measure_texts(df.select(*[F.col(f"`{c}`").alias(inner[c.lower()]) for c in names]), inner[text.lower()])
+    measured = settle(counted.select(*[c for c in counted.columns if c in used or c in added]))
+    stratum = inner[stratum.lower()]
+    cutoffs = fit_cutoffs(
+        measured, labels.withColumnRenamed(key, inner[key.lower()]), inner[key.lower()], stratum, label, rules, max_false_rejection, confidence
+    )
     # one row per stratum with its cutoffs, at most as many as there are strata
     table = cutoffs.groupBy(F.col("stratum").alias("_stratum")).agg(F.map_from_entries(F.collect_list(F.struct("rule", "cutoff"))).alias("_cut"))
     joined = measured.join(table, F.col(stratum).eqNullSafe(F.col("_stratum")), "left").drop("_stratum")
@@ -214,4 +219,5 @@ def judge_quality(
         F.when(F.expr(r.measure) > F.try_element_at("_cut", F.lit(r.name)), F.lit(r.name)) for r in rules
     ]
     joined = joined.withColumn("base_failed", base_failed()).withColumn("failed_rules", F.array_compact(F.array(*failed)))
-    return joined.withColumn("kept", ~F.col("base_failed") & (F.size("failed_rules") == 0)).drop("_cut")
+    made = joined.withColumn("kept", ~F.col("base_failed") & (F.size("failed_rules") == 0))
+    return made.select(*[F.col(inner[c.lower()]).alias(c) for c in wanted], *added)

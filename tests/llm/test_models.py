@@ -201,3 +201,34 @@ def test_defaults_reach_the_dense_solution_along_long_chains(spark):
         for h, r in got.items():
             assert abs(r[kind] - score[names.index(h)]) <= 1e-5 * score[names.index(h)]
     assert all(got[f"c{i}.net"].verdict == "block" for i in range(20)) and got["f.net"].verdict == "block"
+
+
+@pytest.mark.parametrize(
+    "page,texts",
+    [
+        ("<article><p title=Don't>One two three.</p><p>Four five.</p></article>", ["One two three.", "Four five."]),
+        ("<article><a href=x?q='>One</a> two</article>", ["One two"]),
+        ("<p data-x=it's>a</p><p>b</p><p>c'd</p>", ["a", "b", "c'd"]),
+        ("<p o'clock>a</p><p>b</p>", ["a", "b"]),
+        ('<p ="x">a</p>', ["a"]),
+        ("<p a=\"b>c\" d='>'>e</p>", ["e"]),
+        ("<p a = 'b>c'>e</p>", ["e"]),
+        ('<a/href="x>y">k</a>', ["k"]),
+        ("<script x='>'>no</script foo>yes<p>z", ["yes", "z"]),
+        ("<p a='never closed>b</p>", []),
+        ("<title-x>q</title-x>", ["q"]),
+    ],
+)
+def test_quotes_where_browsers_read_letters(page, texts):
+    assert [b.text for b in blocks.read_blocks(page)] == texts
+
+
+def test_long_pages_teach_to_their_end():
+    page = "<main>" + "".join(f"<p>Words of paragraph {i} go on and on.</p>" for i in range(200)) + "</main><footer>Legal notice</footer>"
+    assert blocks.train([page] * 3, variants=0, most=50) is not None
+
+
+def test_main_text_beside_clashing_names(spark):
+    rows = spark.createDataFrame([(1, "<p>a</p>", "x", "y")], "page_id bigint, html string, _page string, Text string")
+    made = blocks.extract_main_text(rows)
+    assert made.columns == ["page_id", "_page", "text", "n_chars", "n_blocks"] and made.first()._page == "x"

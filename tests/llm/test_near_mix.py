@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from rushlight.llm import darts, mixing
+from rushlight.llm import darts, mixing, quality
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -181,3 +181,17 @@ def test_components_of_chains_stars_and_strangers(spark):
     got = {r.id: r.root for r in darts.components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
     linked = {x for a, b in edges if a != b for x in (a, b)}
     assert got == {x: find(x) for x in linked}
+
+
+def test_columns_of_any_name_come_through(spark):
+    """Names that differ by case alone, hidden ones, and those of the operators' own tables."""
+    rows = [(i, f"word {i} " * (i + 1), "en", f"s{i % 3}", "a", "b", "c", "d") for i in range(12)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, Size string, _order string, whole string, room string")
+    mixed = mixing.mix_sources(df, F.array("source"))
+    assert mixed.columns == ["doc_id", "text", "lang", "source", "_order", "whole", "room", "size", "pattern", "pattern_target", "taken"]
+    assert all((r._order, r.whole, r.room) == ("b", "c", "d") and r["size"] == 2 * (r.doc_id + 1) for r in mixed.collect())
+    named = df.toDF("doc_id", "text", "lang", "source", "N_WORDS", "_cut", "_stratum", "rule")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(12)], "doc_id bigint, quality int")
+    judged = quality.judge_quality(named, labels)
+    assert judged.columns[:7] == ["doc_id", "text", "lang", "source", "_cut", "_stratum", "rule"] and "n_words" in judged.columns
+    assert all((r._cut, r._stratum, r.rule) == ("b", "c", "d") for r in judged.collect())

@@ -102,3 +102,16 @@ def test_every_stage_by_row_not_by_id(spark, tmp_path):
     assert Counter(r.doc_id for r in encoded.collect()) == Counter(k for k, *_ in rows)
     judged = corpus_pipeline.quality_rules(spark, docs, FOLDER)
     assert not seen(judged) - seen(docs)
+
+
+def test_stages_composed_without_writing(spark):
+    """Stages that are only called, called twice, or run side by side read tables that are still there."""
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
+    kept = corpus_pipeline.quality_rules(spark, docs, FOLDER)
+    once = corpus_pipeline.exact_dedup(spark, kept, FOLDER)
+    again = corpus_pipeline.exact_dedup(spark, kept, FOLDER)
+    near = corpus_pipeline.near_dedup(spark, once, FOLDER)
+    other = corpus_pipeline.run(spark, FOLDER)
+    assert kept.count() >= once.count() == again.count() >= near.count() > 0
+    mixed = corpus_pipeline.mix_sources(spark, near, FOLDER)
+    assert mixed.count() == other.count() > 0

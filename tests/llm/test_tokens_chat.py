@@ -136,3 +136,15 @@ def test_states_are_bounded_inside_a_slice(model, monkeypatch):
     small = transducer.CountTransducer(model, max_states=200)
     assert small.count(texts).tolist() == [len(i) for i in LIBRARY.encode(texts)]
     assert made
+
+
+def test_ids_beyond_doubles_beside_a_null(spark):
+    ids = [2**53 + 1, 2**53 + 2, None, -(2**53) - 1]
+    rows = [(i, t, role, f"{role} {i}") for i in ids for t, role in enumerate(("user", "assistant"))]
+    turns = spark.createDataFrame(rows, "conv_id bigint, turn int, role string, text string").coalesce(1)
+    windows = chat.format_windows(turns)
+    assert sorted(str(r.conv_id) for r in windows.collect()) == sorted(map(str, ids))
+    made = {r.conv_id: r for r in chat.digest_windows(windows).collect()}
+    assert set(made) == set(ids) and all(r.n_turns == 2 for r in made.values())
+    for i in ids:
+        assert made[i].loss_sha256 == hashlib.sha256(f"assistant {i}".encode()).hexdigest()
