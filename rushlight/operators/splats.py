@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -305,38 +310,100 @@ def resample_by_weight(
     )
 
 
+def _farthest(top: int):
+    """One row per block: its first ``top`` points by distance to the seeds so far, and where the rest begins."""
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(len(batch)):
+                ids = batch["ids"][i].values.to_numpy()
+                xyz = np.stack([batch[c][i].values.to_numpy() for c in ("x", "y", "z")])
+                seeds = np.stack([batch[f"seed_{c}"][i].values.to_numpy() for c in ("x", "y", "z")])
+                near = np.full(len(ids), np.inf)
+                for seed in seeds.T:
+                    near = np.minimum(near, _away(xyz, seed))
+                order = np.lexsort((ids, -near))[: top + 1]
+                sent, rest = order[:top], order[top:]
+                made = {"scene": [batch["scene"][i].as_py()], "taken": [seeds.shape[1]], "most": [batch["most"][i].as_py()]}
+                made |= {"ids": [ids[sent]], "near": [near[sent]]} | {c: [xyz[k][sent]] for k, c in enumerate("xyz")}
+                made |= {"rest_near": [float(near[rest][0]) if len(rest) else None], "rest_id": [int(ids[rest][0]) if len(rest) else None]}
+                columns = [pa.array(made["scene"], batch.schema.field("scene").type), *[pa.array(made[c], kind) for c, kind in _SENT]]
+                yield pa.RecordBatch.from_arrays(columns, ["scene", *[c for c, _ in _SENT]])
+
+    return walk
+
+
+_SENT = [
+    ("taken", pa.int32()), ("most", pa.int64()), ("ids", pa.list_(pa.int64())), ("near", pa.list_(pa.float64())), ("x", pa.list_(pa.float64())),
+    ("y", pa.list_(pa.float64())), ("z", pa.list_(pa.float64())), ("rest_near", pa.float64()), ("rest_id", pa.int64()),
+]
+
+
+def _away(xyz: np.ndarray, seed: np.ndarray) -> np.ndarray:
+    x, y, z = (xyz[k] - seed[k] for k in range(3))
+    return x * x + y * y + z * z
+
+
+def _picked(blocks: pd.DataFrame) -> pd.DataFrame:
+    """Further seeds of one scene, as long as the best point sent is before all that blocks kept back.
+
+    Distances only shrink as seeds are added, so a point that was kept back stays behind where its block's rest began.
+    """
+    ids, near = np.concatenate(blocks["ids"].tolist()), np.concatenate(blocks["near"].tolist())
+    xyz = np.stack([np.concatenate(blocks[c].tolist()) for c in ("x", "y", "z")])
+    back = blocks.dropna(subset=["rest_near"])
+    limit = max(zip(back["rest_near"], -back["rest_id"]), default=None)
+    node, out = int(blocks["taken"].iloc[0]), []
+    while node < blocks["most"].iloc[0]:
+        best = np.flatnonzero(near == near.max())
+        best = best[ids[best].argmin()]
+        if limit is not None and (near[best], -ids[best]) <= limit:
+            break
+        out.append((blocks["scene"].iloc[0], node, ids[best], *xyz[:, best]))
+        near = np.minimum(near, _away(xyz, xyz[:, best]))
+        node += 1
+    return pd.DataFrame(out, columns=["scene", "node", "id", "x", "y", "z"])
+
+
 def farthest_points(
-    points: DataFrame, count: int, scene: str = "scene_id", row_id: str = "gid", start: str = "centroid", least: int = 8
+    points: DataFrame,
+    count: int = 256,
+    scene: str = "scene_id",
+    row_id: str = "gid",
+    start: str = "centroid",
+    least: int = 8,
+    block_points: int = 1 << 16,
+    top: int = 1 << 12,
 ) -> DataFrame:
-    """Farthest-point seeds of all scenes at once, in picking order.
+    """Farthest-point seeds of all scenes at once, in picking order; ties go to the lower id, ids are whole numbers.
 
-    Each round sends one row per scene: the farthest point so far. The distance to the seeds
-    is folded in as they are found and written to the checkpoint folder every few rounds, so
-    neither the plan nor the seed table grows with the rounds. Ties go to the lower id.
+    Points lie in blocks. A pass takes from every block its ``top`` farthest points and the distance at which the rest
+    begins, and picks seed after seed among them for as long as the farthest is beyond all the rests: then it is the
+    farthest of all, without looking at the others. The next pass measures anew from all seeds. So a pass gives
+    many seeds and sends ``top`` points of each block, never the block. Points without a place are left out.
     """
-    xyz = ("x", "y", "z")
-    sizes = points.groupBy(scene).agg(F.count(F.lit(1)).alias("_n"), *[F.avg(c).alias(f"_m{c}") for c in xyz])
-    sizes = sizes.filter(F.col("_n") >= least)
-    data = points.select(scene, row_id, *[F.col(c).cast("double").alias(c) for c in xyz]).join(small(sizes), scene)
-    origin = [F.col(f"_m{c}") if start == "centroid" else F.lit(0.0) for c in xyz]
-    first = sum(((F.col(c) - o) * (F.col(c) - o) for c, o in zip(xyz[1:], origin[1:], strict=True)), (F.col("x") - origin[0]) * (F.col("x") - origin[0]))
-    state = settle(data.select(scene, row_id, *xyz, "_n", first.alias("_far"), F.lit(float("inf")).alias("_near")))
-    chosen, pending = [], []
-    for round_no in range(count):
-        far = F.col("_far") if round_no == 0 else F.col("_near")
-        pick = state.filter(F.col("_n") > round_no).groupBy(scene).agg(
-            F.max(F.struct(far.alias("d"), (-F.col(row_id)).alias("o"), *xyz)).alias("_p")
-        )
-        pick = settle(pick.select(scene, (-F.col("_p.o")).alias(row_id), *[F.col(f"_p.{c}").alias(c) for c in xyz]))
-        chosen.append(pick.withColumn("node", F.lit(round_no)))
-        pending.append(pick)
-        seed = pick.select(scene, *[F.col(c).alias(f"_s{c}") for c in xyz])
-        state = state.join(small(seed), scene, "left")
-        away = sum(((F.col(c) - F.col(f"_s{c}")) * (F.col(c) - F.col(f"_s{c}")) for c in xyz[1:]), (F.col("x") - F.col("_sx")) * (F.col("x") - F.col("_sx")))
-        state = state.withColumn("_near", F.least(F.col("_near"), away)).drop("_sx", "_sy", "_sz")
-        if len(pending) == 8 and round_no + 1 < count:
-            state, pending = settle(state), []
-    result = chosen[0]
-    for more in chosen[1:]:
-        result = result.unionByName(more)
-    return result.select(scene, "node", row_id, *xyz)
+    spark, xyz = points.sparkSession, ("x", "y", "z")
+    kind, number = dict(points.dtypes)[scene], dict(points.dtypes)[row_id]
+    whole = points.select(F.col(scene).alias("scene"), F.col(row_id).cast("long").alias("id"), *[F.col(c).cast("double").alias(c) for c in xyz])
+    whole = whole.dropna(subset=list(xyz))
+    sizes = whole.groupBy("scene").agg(F.count(F.lit(1)).alias("n"), *[F.avg(c).alias(f"m{c}") for c in xyz]).filter(F.col("n") >= least)
+    known = whole.join(small(sizes), "scene")
+    origin = [F.col(f"m{c}") if start == "centroid" else F.lit(0.0) for c in xyz]
+    x, y, z = ((F.col(c) - o) * (F.col(c) - o) for c, o in zip(xyz, origin, strict=True))
+    first = known.groupBy("scene").agg(F.max(F.struct((x + y + z).alias("far"), (-F.col("id")).alias("order"), *xyz)).alias("p"))
+    seeds = settle(first.select("scene", F.lit(0).alias("node"), (-F.col("p.order")).alias("id"), *[F.col(f"p.{c}").alias(c) for c in xyz]))
+    part = F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / block_points))
+    lists = F.collect_list(F.struct("id", *xyz))
+    blocks = known.groupBy("scene", part.alias("part"), F.least("n", F.lit(count)).alias("most")).agg(lists.alias("r"))
+    blocks = settle(blocks.select("scene", "most", F.col("r.id").alias("ids"), *[F.col(f"r.{c}").alias(c) for c in xyz]))
+    sent = f"scene {kind}, taken int, most bigint, ids array<bigint>, near array<double>, x array<double>, y array<double>, z array<double>, rest_near double, rest_id bigint"
+    while True:
+        places = F.array_sort(F.collect_list(F.struct("node", *xyz)))
+        so_far = seeds.groupBy("scene").agg(places.alias("s")).select("scene", *[F.col(f"s.{c}").alias(f"seed_{c}") for c in xyz])
+        open_ = blocks.join(small(so_far), "scene").filter(F.size("seed_x") < F.col("most"))
+        more = open_.mapInArrow(_farthest(top), sent).groupBy("scene").applyInPandas(_picked, f"scene {kind}, node int, id bigint, x double, y double, z double")
+        more = settle(more)
+        if more.isEmpty():
+            break
+        seeds = settle(seeds.unionByName(more))
+    return seeds.select(F.col("scene").alias(scene), "node", F.col("id").cast(number).alias(row_id), *xyz)

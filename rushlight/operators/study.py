@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rushlight.operators.robust import as_number, is_finite
+from rushlight.plans.permute import places, round_keys
 from rushlight.plans.quantiles import average_rank
 from rushlight.plans.sizing import fits_one_task, settle
 from rushlight.plans.timeline import Timeline
@@ -19,6 +23,8 @@ LEAST_FOR_STATISTICS = 3
 POSE_OUTCOMES = ("registered", "registered_ratio", "images_registered", "sparse_points", "seconds_pose")
 NO_POSE = ("skipped", "colmap_missing", "not_run")
 SEPARABLE_FROM = 1.0 - 1e-12
+RANK_BLOCK = 1 << 18  # ranks of a block
+PERM_CHUNK = 250  # permutations of a unit of work
 
 
 def usable_runs(rows: DataFrame, outcome: str) -> DataFrame:
@@ -48,14 +54,41 @@ def _rho(cross: Column, n: Column, sum_x: Column, sum_y: Column, xx: Column, yy:
     return F.when(spread > 0, (cross - sum_x * sum_y / n) / spread).otherwise(F.lit(0.0))
 
 
+def _crossed(permutations: int, seed: int, block: int):
+    """(signal, perm, cross): sums of products of one block of ranks with the permuted ranks that fall into another."""
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for unit in range(len(batch)):
+                one = {c: batch[c][unit] for c in batch.schema.names}
+                n, rx, ry = one["n"].as_py(), one["rx"].values.to_numpy(), one["ry"].values.to_numpy()
+                first, begin = one["left"].as_py() * block, one["right"].as_py() * block
+                numbers = np.arange(one["chunk"].as_py() * PERM_CHUNK, min((one["chunk"].as_py() + 1) * PERM_CHUNK, permutations))
+                keys, cross = round_keys(seed, numbers), np.empty(len(numbers))
+                together = max(1, (1 << 18) // len(rx))
+                for low in range(0, len(numbers), together):
+                    to = places(n, keys[low : low + together], first + np.arange(len(rx))) - begin
+                    here = (to >= 0) & (to < len(ry))
+                    cross[low : low + together] = (np.where(here, ry[np.where(here, to, 0)], 0.0) * rx).sum(1)
+                yield pa.record_batch({"signal": pa.array([one["signal"].as_py()] * len(numbers)), "perm": pa.array(numbers), "cross": pa.array(cross)})
+
+    return walk
+
+
 def spearman(
-    pairs: DataFrame, permutations: int = 10_000, seed: int = 0, signal: str = "signal", row_id: str = "id"
+    pairs: DataFrame,
+    permutations: int = 10_000,
+    seed: int = 0,
+    signal: str = "signal",
+    row_id: str = "id",
+    rank_block: int = RANK_BLOCK,
 ) -> DataFrame:
     """Rank correlation of ``x`` and ``y`` per signal with a two-sided permutation p-value.
 
-    Outcomes are permuted by the order of ``md5(seed|permutation|row)``, so a p-value is the
-    same on every run and any cluster size. A permutation changes only the cross product, which
-    is summed per (signal, permutation) before it is shuffled.
+    A permutation is a keyed network over row places (``plans.permute``), so tasks know where it sends a row without
+    sorting or moving anything, and p-values are the same on every run and any cluster size. Ranks lie in blocks of
+    ``rank_block`` places; a unit of work multiplies one block by the permuted places of another for ``PERM_CHUNK``
+    permutations at once. What is shuffled is the blocks and one number per unit and permutation.
     """
     finite = pairs.filter(is_finite(F.col("x")) & is_finite(F.col("y")))
     if permutations:
@@ -63,7 +96,7 @@ def spearman(
         finite = settle(finite.select(signal, row_id, "x", "y"))
     else:
         finite = finite.select(signal, F.lit(0).alias(row_id), "x", "y")
-    whole = fits_one_task(finite, [signal])  # a signal fits, so each of its permutations fits too
+    whole = fits_one_task(finite, [signal])
     ranked = average_rank(average_rank(finite, [signal], "x", "rx", fits=whole), [signal], "y", "ry", fits=whole).select(
         signal, row_id, "rx", "ry"
     )
@@ -82,29 +115,25 @@ def spearman(
 
     observed = observed.withColumn("rho", rho_of("_xy"))
     if permutations:
-        def line(df: DataFrame, keys: list[str], axis: str, ties: list[str]) -> Timeline:
-            return Timeline(tuple(keys), axis, tuple(ties)) if whole else Timeline.measure(df, keys, axis, ties)
-
-        placed = line(ranked, [signal], row_id, []).number(ranked, "pos")
-        thrown = placed.select(
-            signal,
-            "ry",
-            F.explode(F.sequence(F.lit(0), F.lit(permutations - 1))).alias("perm"),
-            row_id,
-        )
-        word = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("perm").cast("string"), F.col(row_id).cast("string")))
-        # two 60-bit numbers sort like the hexadecimal text and are cheaper to carry
-        places = [F.conv(F.substring("_md5", at, 15), 16, 10).cast("long") for at in (1, 16)]
-        thrown = thrown.withColumn("_md5", word).select(
-            signal, "perm", "ry", places[0].alias("_place"), places[1].alias("_then")
+        observed = settle(observed)
+        line = Timeline((signal,), row_id) if whole else Timeline.measure(ranked, [signal], row_id)
+        placed = line.number(ranked, "_pos").withColumn("_block", F.floor((F.col("_pos") - 1) / rank_block))
+        in_order = F.array_sort(F.collect_list(F.struct("_pos", "rx", "ry")))
+        blocks = settle(
+            placed.groupBy(signal, "_block").agg(in_order.alias("_r")).select(signal, "_block", F.col("_r.rx").alias("rx"), F.col("_r.ry").alias("ry"))
         )
-        shuffled = line(thrown, [signal, "perm"], "_place", ["_then"]).number(thrown, "pos")
-        null = (
-            shuffled.select(signal, "perm", "pos", "ry")
-            .join(placed.select(signal, "pos", "rx"), [signal, "pos"])
-            .groupBy(signal, "perm")
-            .agg(F.sum(x * y).alias("_cross"))
+        chunks = F.explode(F.sequence(F.lit(0), F.lit((permutations - 1) // PERM_CHUNK))).alias("chunk")
+        units = (
+            blocks.select(signal, F.col("_block").alias("left"), "rx")
+            .join(blocks.select(signal, F.col("_block").alias("right"), "ry"), signal)
+            .join(observed.select(signal, "n"), signal)
+            .select(F.col(signal).alias("signal"), "n", "left", "right", "rx", "ry", chunks)
         )
+        kind = dict(pairs.dtypes)[signal]
+        # few blocks in one batch: each may be large
+        spread = max(1, units.drop("rx", "ry").count() // 8)
+        null = units.repartition(spread).mapInArrow(_crossed(permutations, seed, rank_block), f"signal {kind}, perm bigint, cross double")
+        null = null.groupBy(F.col("signal").alias(signal), "perm").agg(F.sum("cross").alias("_cross"))
         extreme = (
             null.join(observed, signal)
             .filter(F.abs(rho_of("_cross")) >= F.abs("rho") - 1e-12)

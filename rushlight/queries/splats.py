@@ -507,29 +507,20 @@ def depth_order(spark, folder):
     return rounded(ordered_rows.select("vec_id", "depth", F.floor(F.col("bucket") / 16).cast("int").alias("coarse")))
 
 
-def fps_sql(rounds):
-    """Farthest-point picks per label, one CTE pair per round."""
-    parts = [
-        XYZ,
-        "m AS (SELECT label, avg(x) AS mx, avg(y) AS my, avg(z) AS mz, count(*) AS n FROM vectors_v GROUP BY 1 HAVING count(*) >= 8)",
-        "s0 AS (SELECT v.*, pow(x - mx, 2) + pow(y - my, 2) + pow(z - mz, 2) AS far FROM vectors_v v JOIN m USING (label))",
-        "p0 AS (SELECT label, arg_max(vec_id, (far, -vec_id)) AS vec_id FROM s0 GROUP BY 1)",
-        "n0 AS (SELECT label, vec_id, x, y, z, CAST('Infinity' AS DOUBLE) AS near FROM s0)",
-    ]
-    for i in range(1, rounds):
-        parts.append(
-            f"n{i} AS (SELECT a.label, a.vec_id, a.x, a.y, a.z, least(near, pow(a.x - s.x, 2) + pow(a.y - s.y, 2) + pow(a.z - s.z, 2)) AS near "
-            f"FROM n{i - 1} a JOIN p{i - 1} p ON a.label = p.label JOIN vectors_v s ON s.vec_id = p.vec_id)"
-        )
-        parts.append(f"p{i} AS (SELECT label, arg_max(vec_id, (near, -vec_id)) AS vec_id FROM n{i} GROUP BY 1)")
-    union = " UNION ALL ".join(f"SELECT label AS scene_id, {i} AS node, vec_id FROM p{i}" for i in range(rounds))
-    return "WITH " + ", ".join(parts) + " " + union
+FARTHEST = f"""WITH RECURSIVE {vectors_sql({"x": 1, "y": 2, "z": 3})},
+    m AS (SELECT label, avg(x) AS mx, avg(y) AS my, avg(z) AS mz, count(*) AS n FROM vectors_v GROUP BY 1 HAVING count(*) >= 8),
+    walk AS (SELECT label, n, vec_id, x, y, z, 0 AS node, pow(x - mx, 2) + pow(y - my, 2) + pow(z - mz, 2) AS score, CAST('Infinity' AS DOUBLE) AS near
+      FROM vectors_v JOIN m USING (label)
+      UNION ALL SELECT label, n, vec_id, x, y, z, node + 1, least(near, d), least(near, d)
+      FROM (SELECT *, pow(x - first_value(x) OVER w, 2) + pow(y - first_value(y) OVER w, 2) + pow(z - first_value(z) OVER w, 2) AS d
+        FROM walk WHERE node + 1 < least(n, 256) WINDOW w AS (PARTITION BY label ORDER BY score DESC, vec_id)))
+    SELECT label AS scene_id, node, arg_max(vec_id, (score, -vec_id)) AS vec_id FROM walk GROUP BY ALL"""
 
 
-@query("top7_farthest_points", fps_sql(5))
+@query("top7_farthest_points", FARTHEST)
 def farthest_points(spark, folder):
     rows = vectors(spark, folder, {"x": 1, "y": 2, "z": 3}).withColumnRenamed("label", "scene_id")
-    return splats.farthest_points(rows, 5, row_id="vec_id").select("scene_id", "node", "vec_id")
+    return splats.farthest_points(rows, row_id="vec_id").select("scene_id", "node", "vec_id")
 
 
 @query(

@@ -23,13 +23,27 @@ def ranks_sql(source: str) -> str:
       THEN (xy - sx * sy / n) / sqrt((xx - sx * sx / n) * (yy - sy * sy / n)) ELSE 0.0 END AS rho FROM sums)"""
 
 
+def _scrambled(value: str, key: str) -> str:
+    """``plans.permute._scrambled`` as SQL."""
+    mask = "CAST(4294967295 AS UBIGINT)"
+    x = f"(({value} * CAST(2654435761 AS UBIGINT) + {key}) & {mask})"
+    x = f"((xor({x}, {x} >> 15) * CAST(2246822519 AS UBIGINT)) & {mask})"
+    return f"xor({x}, {x} >> 13)"
+
+
 def permuted_sql(permutations: int) -> str:
-    """CTE ``p_v`` with the permutation p-value on top of ``ranks_sql``."""
-    return f"""placed AS (SELECT signal, CAST(rx AS DOUBLE) AS rx, row_number() OVER (PARTITION BY signal ORDER BY id) AS pos FROM ranked),
-    thrown AS (SELECT signal, perm, CAST(ry AS DOUBLE) AS ry,
-      row_number() OVER (PARTITION BY signal, perm ORDER BY md5('0|' || perm || '|' || id)) AS pos
-      FROM ranked, range(0, {permutations}) r(perm)),
-    crossed AS (SELECT signal, perm, sum(rx * ry) AS xy FROM thrown JOIN placed USING (signal, pos) GROUP BY ALL),
+    """CTE ``p_v`` with the permutation p-value on top of ``ranks_sql``; needs WITH RECURSIVE."""
+    keys = ", ".join(_scrambled(f"(CAST(perm AS UBIGINT) * 8 + {r})", "CAST(1 AS UBIGINT)") for r in range(6))
+    step = f"((s & low) << half) | xor(s >> half, {_scrambled('(s & low)', 'k')} & low)"
+    network = f"list_reduce(list_concat([{{spot}}], keys), lambda s, k: {step})"
+    return f"""placed AS (SELECT signal, CAST(rx AS DOUBLE) AS rx, CAST(ry AS DOUBLE) AS ry,
+      CAST(row_number() OVER (PARTITION BY signal ORDER BY id) - 1 AS UBIGINT) AS pos, count(*) OVER (PARTITION BY signal) AS n FROM ranked),
+    perms AS (SELECT perm, [{keys}] AS keys FROM range(0, {permutations}) r(perm)),
+    sized AS (SELECT signal, CAST(greatest(4, ceil(log2(n) / 2)) AS INT) AS half, n FROM (SELECT DISTINCT signal, n FROM placed)),
+    started AS (SELECT p.signal, perm, rx, p.n, pos, keys, half, CAST((1 << half) - 1 AS UBIGINT) AS low FROM placed p JOIN sized USING (signal), perms),
+    walked AS (SELECT signal, perm, rx, n, keys, half, low, {network.format(spot="pos")} AS spot FROM started
+      UNION ALL SELECT signal, perm, rx, n, keys, half, low, {network.format(spot="spot")} FROM walked WHERE spot >= n),
+    crossed AS (SELECT w.signal, perm, sum(w.rx * p.ry) AS xy FROM walked w JOIN placed p ON w.signal = p.signal AND w.spot = p.pos GROUP BY ALL),
     hits AS (SELECT c.signal, count(*) AS extreme FROM crossed c JOIN rho_v r ON c.signal = r.signal
       WHERE abs(CASE WHEN sqrt((xx - sx * sx / n) * (yy - sy * sy / n)) > 0
         THEN (c.xy - sx * sy / n) / sqrt((xx - sx * sx / n) * (yy - sy * sy / n)) ELSE 0.0 END) >= abs(rho) - 1e-12
@@ -63,11 +77,11 @@ def label_pairs(spark, folder):
 
 @query(
     "agg21_spearman",
-    f"""WITH {PAIRS}, {ranks_sql("pairs")}, {permuted_sql(200)}
-    SELECT signal, round(rho, 9) AS rho, round(p_value, 9) AS p_value, n, 200 AS permutations FROM p_v""",
+    f"""WITH RECURSIVE {PAIRS}, {ranks_sql("pairs")}, {permuted_sql(10_000)}
+    SELECT signal, round(rho, 9) AS rho, round(p_value, 9) AS p_value, n, 10000 AS permutations FROM p_v""",
 )
 def spearman(spark, folder):
-    return rounded(study.spearman(label_pairs(spark, folder), permutations=200), 9)
+    return rounded(study.spearman(label_pairs(spark, folder)), 9)
 
 
 @query(
@@ -112,13 +126,13 @@ STUDY = """study AS (SELECT signal, id, x, registered_ratio AS y FROM (
 
 @query(
     "agg25_study_correlations",
-    f"""WITH {RUNS}, {STUDY}, {ranks_sql("study")}, {permuted_sql(100)}
-    SELECT signal, round(rho, 9) AS rho, round(p_value, 9) AS p_value, n, 100 AS permutations,
+    f"""WITH RECURSIVE {RUNS}, {STUDY}, {ranks_sql("study")}, {permuted_sql(10_000)}
+    SELECT signal, round(rho, 9) AS rho, round(p_value, 9) AS p_value, n, 10000 AS permutations,
       abs(rho) >= 0.40 AS meets_target FROM p_v""",
 )
 def study_correlations(spark, folder):
     signals = ["frames_sampled", "frames_used", "vol_median"]
-    found = study.study_correlations(runs(spark, folder), "registered_ratio", signals, "capture_id", permutations=100)
+    found = study.study_correlations(runs(spark, folder), "registered_ratio", signals, "capture_id")
     return rounded(found, 9)
 
 

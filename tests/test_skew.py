@@ -183,3 +183,46 @@ def test_auc_and_spearman_values(spark):
     assert study.auc(rows, "x", "label").first()["auc"] == pytest.approx(want)
     one = study.auc(rows.withColumn("label", F.lit(1)), "x", "label").first()["auc"]
     assert np.isnan(one)
+
+
+def test_permutations_in_blocks(spark):
+    """Ranks cut into blocks of seven places give the p-value of whole permutations."""
+    from rushlight.plans.permute import places, round_keys
+
+    rng = np.random.default_rng(2)
+    x = rng.integers(0, 9, 40).astype(float)
+    y = x * 0.3 + rng.normal(size=40)
+    rows = spark.createDataFrame(pd.DataFrame({"signal": "s", "id": range(40), "x": x, "y": y}))
+    rx, ry = pd.Series(x).rank().to_numpy(), pd.Series(y).rank().to_numpy()
+    moved = places(40, round_keys(3, np.arange(700)), np.arange(40))
+    assert (np.sort(moved, 1) == np.arange(40)).all()
+    rho = [np.corrcoef(rx, ry[m])[0, 1] for m in moved]
+    want = (1 + sum(abs(r) >= abs(np.corrcoef(rx, ry)[0, 1]) - 1e-12 for r in rho)) / 701
+    for block in (7, 1 << 18):
+        got = study.spearman(rows, permutations=700, seed=3, rank_block=block).first()
+        assert got["p_value"] == pytest.approx(want) and got["permutations"] == 700
+
+
+def test_farthest_points_in_blocks(spark):
+    """Few points sent per block and pass, ties and copies: the seeds of a plain walk, in far fewer jobs than seeds."""
+    from rushlight.operators import splats
+
+    rng = np.random.default_rng(4)
+    place = np.round(rng.normal(size=(600, 3)), 1)
+    place[50:60] = place[40]
+    scene = np.where(np.arange(600) < 500, 1, 2)
+    scene[595:] = 3  # too few
+    rows = spark.createDataFrame([(int(s), i, *map(float, p)) for i, (s, p) in enumerate(zip(scene, place))], "scene_id int, gid int, x double, y double, z double")
+    want = []
+    for s in (1, 2):
+        ids = np.flatnonzero(scene == s)
+        p = place[ids]
+        score, near = ((p - p.mean(0)) ** 2).sum(1), np.full(len(ids), np.inf)
+        for node in range(min(256, len(ids))):
+            best = int(np.lexsort((ids, -score))[0])
+            want.append((s, node, int(ids[best])))
+            near = np.minimum(near, ((p - p[best]) ** 2).sum(1))
+            score = near
+    for how in ({"block_points": 100, "top": 40}, {}):
+        got = splats.farthest_points(rows, **how)
+        assert [tuple(r) for r in got.select("scene_id", "node", "gid").orderBy("scene_id", "node").collect()] == want
