@@ -223,17 +223,25 @@ def splat_records(spark, folder):
 
 @query(
     "src11_pack_records",
-    "SELECT count(*) AS rows, count(*) * 32 AS bytes FROM lineitem",
+    """SELECT row_number() OVER (ORDER BY l_quantity, l_discount, l_tax) - 1 AS position, round(CAST(CAST(l_quantity AS FLOAT) AS DOUBLE), 6) AS x,
+      round(CAST(CAST(l_discount AS FLOAT) AS DOUBLE), 6) AS y, round(CAST(CAST(l_tax AS FLOAT) AS DOUBLE), 6) AS z, 1.0 AS sx, 1.0 AS sy, 1.0 AS sz,
+      CAST(l_quantity AS INT) AS r, 7 AS g, 7 AS b, CAST(trunc(greatest(0, least(255, l_discount * 255))) AS INT) AS a,
+      round(127 / CAST(128 AS DOUBLE), 6) AS qw, 0.0 AS qx, 0.0 AS qy, 0.0 AS qz FROM lineitem""",
 )
 def pack_records(spark, folder):
-    items = table(spark, folder, "lineitem")
-    rows = items.select(
-        F.col("l_orderkey").alias("gid"), F.col("l_quantity").alias("x"), F.col("l_discount").alias("y"), F.col("l_tax").alias("z"),
-        *[F.lit(1.0).alias(c) for c in ("sx", "sy", "sz")], *[F.lit(7).alias(c) for c in "rgb"], F.col("l_discount").alias("opacity"),
+    """Records written through the sink in the order of their places and read back in byte ranges."""
+    import uuid
+
+    from rushlight.plans.sizing import shared_folder
+
+    rows = table(spark, folder, "lineitem").select(
+        F.col("l_quantity").alias("x"), F.col("l_discount").alias("y"), F.col("l_tax").alias("z"), *[F.lit(1.0).alias(c) for c in ("sx", "sy", "sz")],
+        F.col("l_quantity").cast("int").alias("r"), *[F.lit(7).alias(c) for c in "gb"], F.col("l_discount").alias("opacity"),
         F.lit(1.0).alias("qw"), *[F.lit(0.0).alias(c) for c in ("qx", "qy", "qz")],
     )
-    packed = splats.pack_records(splats.splat_records(rows), ["x", "gid"])
-    return packed.agg(F.sum("rows").cast("long").alias("rows"), F.sum(F.length("body")).cast("long").alias("bytes"))
+    place = f"{shared_folder(spark)}/records-{uuid.uuid4().hex}"
+    splats.write_splat_rows(splats.splat_records(rows), ["x", "y", "z"], place)
+    return rounded(splats.read_splat_rows(spark, place, bytes_per_partition=1 << 18))
 
 
 @query("src4_results_round_trip", """SELECT c_name AS name, c_nationkey AS frames_used, c_acctbal AS "signal_score", c_acctbal > 0 AS registered FROM customer""")
@@ -267,30 +275,38 @@ TRAINED = {n: i + 1 for i, n in enumerate("x y z opacity scale_0 scale_1 scale_2
 
 @query(
     "src10_read_splat_table",
-    f"""WITH {vectors_sql(TRAINED)} SELECT round(x, 6) AS x, round(opacity, 6) AS opacity, round(scale_2, 6) AS scale_2, 1 AS sh_bands FROM vectors_v""",
+    f"""WITH {vectors_sql(TRAINED)} SELECT round(x, 6) AS x, round(opacity, 6) AS opacity, round(scale_2, 6) AS scale_2,
+      CASE WHEN vec_id % 2 = 0 THEN 1 ELSE 2 END AS sh_bands, CASE WHEN vec_id % 2 = 1 THEN round(y, 6) END AS weight FROM vectors_v""",
 )
 def read_splat_table(spark, folder):
-    """Vertex files made from the vectors, one per partition, read back through the data source."""
-    from rushlight.plans.sizing import shared_folder
+    """Vertex files of two layouts made from the vectors, in one folder, read back through the data source."""
     import uuid
 
+    from rushlight.plans.sizing import shared_folder
+
     place = f"{shared_folder(spark)}/splats-{uuid.uuid4().hex}"
-    names = [*TRAINED, "f_rest_0"]
+    plain = [(n, "float", "<f4") for n in (*TRAINED, "f_rest_0")]
+    layouts = [plain, [plain[2], *plain[:2], *plain[3:], ("f_rest_1", "float", "<f4"), ("weight", "double", "<f8")]]
 
     def save(batches):
         import numpy as np
         import pandas as pd
         from pyspark import TaskContext
 
-        # one file per Arrow batch, written through the shared folder's own file system
+        # one file per Arrow batch and layout, written through the shared folder's own file system
         for number, batch in enumerate(batches):
-            rows = batch[names].to_numpy("<f4")
-            head = ["ply", "format binary_little_endian 1.0", f"element vertex {len(rows)}", *(f"property float {n}" for n in names), "end_header"]
-            system, inner = splats._open(place)
-            system.create_dir(inner, recursive=True)
-            with system.open_output_stream(f"{inner}/part-{TaskContext.get().partitionId():05d}-{number:05d}.ply") as out:
-                out.write(("\n".join(head) + "\n").encode() + np.ascontiguousarray(rows).tobytes())
-            yield pd.DataFrame({"rows": [len(rows)]})
+            for odd, layout in enumerate(layouts):
+                part = batch[batch["vec_id"] % 2 == odd]
+                rows = np.zeros(len(part), [(n, t) for n, _, t in layout])
+                for n, _, _ in layout:
+                    rows[n] = part["y"] if n == "weight" else part[n] if n in part else 0.0
+                head = ["ply", "format binary_little_endian 1.0", f"element vertex {len(rows)}", *(f"property {k} {n}" for n, k, _ in layout), "end_header"]
+                system, inner = splats._open(place)
+                system.create_dir(inner, recursive=True)
+                with system.open_output_stream(f"{inner}/part-{TaskContext.get().partitionId():05d}-{number:05d}-{odd}.ply") as out:
+                    out.write(("\n".join(head) + "\n").encode() + rows.tobytes())
+            yield pd.DataFrame({"rows": [len(batch)]})
 
     vectors(spark, folder, TRAINED).withColumn("f_rest_0", F.lit(0.0)).mapInPandas(save, "rows long").agg(F.sum("rows")).collect()
-    return rounded(splats.read_splat_table(spark, place, rows_per_partition=100).select("x", "opacity", "scale_2", "sh_bands"))
+    rows = splats.read_splat_table(spark, place, bytes_per_partition=4000)
+    return rounded(rows.select("x", "opacity", "scale_2", "sh_bands", "weight"))

@@ -156,7 +156,7 @@ def test_splat_source_and_sink(spark, tmp_path, order):
     head = ["ply", f"format binary_{'little' if order == '<' else 'big'}_endian 1.0", "element vertex 500", *(f"property float {n}" for n in names), "end_header"]
     path = tmp_path / "scene.ply"
     path.write_bytes(("\n".join(head) + "\n").encode() + values.astype(f"{order}f4").tobytes())
-    rows = splats.read_splat_table(spark, str(path), rows_per_partition=128)
+    rows = splats.read_splat_table(spark, str(path), bytes_per_partition=8000)
     assert rows.rdd.getNumPartitions() == 4 and "f_rest_0" not in rows.columns
     got = rows.toPandas().sort_values("gid")
     np.testing.assert_array_equal(got[["x", "opacity", "rot_3"]], values[:, [0, 7, 14]])
@@ -165,13 +165,45 @@ def test_splat_source_and_sink(spark, tmp_path, order):
 
     ready = decode_splats(rows.drop("sh_bands")).withColumn("position", F.col("gid"))
     records = splats.splat_records(ready)
-    written = splats.write_splat_rows(records, ["position"], str(tmp_path / "out")).collect()
-    assert sum(r["rows"] for r in written) == 500
-    raw = b"".join(open(r["file"], "rb").read() for r in sorted(written, key=lambda r: r["file"]))
+    splats.write_splat_rows(records, ["position"], str(tmp_path / "out"))
+    raw = b"".join(f.read_bytes() for f in sorted((tmp_path / "out").glob("part-*.splat")))
     assert len(raw) == 500 * 32
     np.testing.assert_array_equal(np.frombuffer(raw, splats.RECORD)["xyz"], values[:, :3])
-    back = splats.read_splat_rows(spark, str(tmp_path / "out" / "part-*"))
-    assert back.count() == 500
+    back = splats.read_splat_rows(spark, str(tmp_path / "out"), bytes_per_partition=1000)
+    assert back.rdd.getNumPartitions() >= 16
+    np.testing.assert_array_equal(back.orderBy("position").select("x", "y", "z").toPandas(), values[:, :3])
+    splats.write_splat_rows(records, ["position"], str(tmp_path / "out"), mode="append")
+    assert splats.read_splat_rows(spark, str(tmp_path / "out")).agg(F.max("position")).first()[0] == 999
+
+
+def test_a_failed_task_leaves_no_file(spark, tmp_path):
+    fields = ["x", "y", "z", "sx", "sy", "sz", "r", "g", "b", "a", "b0", "b1", "b2", "b3"]
+    rows = spark.range(4000).select(*[(F.col("id") % 200).cast("float" if f in fields[:6] else "int").alias(f) for f in fields], "id")
+    folder = tmp_path / "out"
+    splats.write_splat_rows(rows.filter("id < 10"), ["id"], str(folder))
+    broken = rows.withColumn("x", F.when(F.col("id") == 3999, F.raise_error(F.lit("lost")).cast("float")).otherwise(F.col("x")))
+    with pytest.raises(Exception, match="lost"):
+        splats.write_splat_rows(broken, ["y", "z", "id"], str(folder))
+    assert splats.read_splat_rows(spark, str(folder)).count() == 10
+    assert not [f for f in folder.iterdir() if not f.name.startswith("part-")]
+
+
+def test_files_of_many_layouts(spark, tmp_path):
+    def save(name, fields, rows, filler=0):
+        head = ["ply", "format binary_little_endian 1.0", *["comment " + "x" * 70] * filler, f"element vertex {len(rows)}", *(f"property {k} {n}" for n, k, _ in fields), "end_header"]
+        (tmp_path / name).write_bytes(("\n".join(head) + "\n").encode() + np.array(rows, [(n, t) for n, _, t in fields]).tobytes())
+
+    must = [(n, "float", "<f4") for n in ("x", "y", "z", "opacity", "scale_0")]
+    save("a.ply", must, [(1, 2, 3, 4, 5)] * 3)
+    save("b.ply", [("extra", "uchar", "u1"), *must], [(9, 1, 2, 3, 4, 6)] * 2, filler=30_000)  # a header of two megabytes
+    save("c.ply", [*must, ("extra", "double", "<f8")], [(1, 2, 3, 4, 7, 0.5)])
+    save("d.ply", must, [])
+    rows = splats.read_splat_table(spark, str(tmp_path), bytes_per_partition=50)
+    got = sorted((r.scene_id, r.gid, r.scale_0, r.extra) for r in rows.collect())
+    assert got == [("a", 0, 5, None), ("a", 1, 5, None), ("a", 2, 5, None), ("b", 0, 6, 9), ("b", 1, 6, 9), ("c", 0, 7, 0.5)]
+    (tmp_path / "e.ply").write_text("no such thing")
+    with pytest.raises(ValueError, match="1 files cannot be read"):
+        splats.read_splat_table(spark, str(tmp_path))
 
 
 def test_text_splat_refused(tmp_path):
