@@ -424,11 +424,18 @@ def graph_edges(spark, folder):
 POSES = f"""{FRAMES}, {EDGES}, poses_v AS (SELECT frame, t.node, n.x AS rx, n.y AS ry, n.z AS rz, qw, qx, qy, qz, tx, ty, tz FROM traj_v t JOIN nodes_v n USING (node))"""
 
 
-def poses(spark, folder, frame=None):
+def poses(spark, folder):
     traj, _ = trajectory(spark, folder)
     rest = nodes(spark, folder).select("node", F.col("x").alias("rx"), F.col("y").alias("ry"), F.col("z").alias("rz"))
-    joined = traj.drop("vec_id").join(rest, "node")
-    return joined if frame is None else joined.filter(F.col("frame") == frame)
+    return traj.drop("vec_id").join(rest, "node")
+
+
+def whole_poses(spark, folder):
+    """Every frame in which all nodes have a pose; a splat has no place where one of its nodes has none."""
+    posed, n = poses(spark, folder), nodes(spark, folder).agg(F.count(F.lit(1)).alias("n"))
+    known = posed.groupBy(F.col("frame").alias("f")).agg(F.count(F.lit(1)).alias("c"))
+    complete = known.join(F.broadcast(n), F.col("c") == F.col("n"))  # one row
+    return posed.join(complete, F.col("frame") == F.col("f"), "left_semi")
 
 
 ARAP_I = rotate_sql("qi", ("ex", "ey", "ez"))
@@ -449,7 +456,8 @@ def arap(spark, folder):
 SKIN = f"""{POSES}, {XYZ.replace("vectors_v", "pv")}, kp AS (SELECT v.vec_id, v.label, v.x, v.y, v.z, n.node, sqrt(pow(v.x - n.x, 2) + pow(v.y - n.y, 2) + pow(v.z - n.z, 2)) AS d FROM pv v, nodes_v n),
 kr AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY d, node) AS rk FROM kp),
 skin_v AS (SELECT *, (1 / (d + 0.001)) / sum(1 / (d + 0.001)) OVER (PARTITION BY vec_id) AS w FROM kr WHERE rk <= 3),
-posed_v AS (SELECT s.*, {", ".join(f"p.{c}" for c in skinning.POSE)} FROM skin_v s JOIN poses_v p ON p.node = s.node AND p.frame = 1)"""
+posed_v AS (SELECT s.*, {", ".join(f"p.{c}" for c in skinning.POSE)}, p.frame FROM skin_v s JOIN poses_v p ON p.node = s.node
+  WHERE p.frame IN (SELECT frame FROM poses_v GROUP BY 1 HAVING count(*) = (SELECT count(*) FROM nodes_v)))"""
 
 
 def skinned(spark, folder):
@@ -464,12 +472,12 @@ def skinned(spark, folder):
 
 @query(
     "jn13_skin_positions",
-    f"""WITH {SKIN} SELECT vec_id, {", ".join(f"round(CASE WHEN any_value(label) = 0 THEN any_value({k}) ELSE sum(w * ({r} + r{k} + t{k})) END, 6) AS p{k}" for k, r in zip("xyz", rotate_sql("q", ("x - rx", "y - ry", "z - rz"))))}
-    FROM posed_v GROUP BY vec_id""",
+    f"""WITH {SKIN} SELECT vec_id, frame, {", ".join(f"round(CASE WHEN any_value(label) = 0 THEN any_value({k}) ELSE sum(w * ({r} + r{k} + t{k})) END, 6) AS p{k}" for k, r in zip("xyz", rotate_sql("q", ("x - rx", "y - ry", "z - rz"))))}
+    FROM posed_v GROUP BY vec_id, frame""",
 )
 def skin_positions(spark, folder):
-    made = skinning.skin_positions(skinning.with_pose(skinned(spark, folder), poses(spark, folder, 1)))
-    return rounded(made.select("vec_id", "px", "py", "pz"))
+    made = skinning.skin_positions(skinning.with_pose(skinned(spark, folder), whole_poses(spark, folder)))
+    return rounded(made.select("vec_id", "frame", "px", "py", "pz"))
 
 
 OWN = vectors_sql({"ow": 4, "ox": 5, "oy": 6, "oz": 7}, "ov")
@@ -478,33 +486,33 @@ OWN = vectors_sql({"ow": 4, "ox": 5, "oy": 6, "oz": 7}, "ov")
 @query(
     "jn14_skin_orientation",
     f"""WITH {SKIN}, {OWN}, h AS (SELECT p.*, CASE WHEN qw * first_value(qw) OVER k + qx * first_value(qx) OVER k + qy * first_value(qy) OVER k + qz * first_value(qz) OVER k < 0 THEN -1 ELSE 1 END AS s
-      FROM posed_v p WINDOW k AS (PARTITION BY vec_id ORDER BY w DESC, node)),
-    b AS (SELECT vec_id, label, {", ".join(f"sum(w * s * q{k}) AS a{k}" for k in "wxyz")} FROM h GROUP BY ALL),
-    u AS (SELECT b.vec_id, b.label, {", ".join(f"a{k} / sqrt(aw * aw + ax * ax + ay * ay + az * az) AS a{k}" for k in "wxyz")},
+      FROM posed_v p WINDOW k AS (PARTITION BY vec_id, frame ORDER BY w DESC, node)),
+    b AS (SELECT vec_id, frame, label, {", ".join(f"sum(w * s * q{k}) AS a{k}" for k in "wxyz")} FROM h GROUP BY ALL),
+    u AS (SELECT b.vec_id, b.frame, b.label, {", ".join(f"a{k} / sqrt(aw * aw + ax * ax + ay * ay + az * az) AS a{k}" for k in "wxyz")},
       {", ".join(f"o{k} / sqrt(ow * ow + ox * ox + oy * oy + oz * oz) AS g{k}" for k in "wxyz")} FROM b JOIN ov USING (vec_id))
-    SELECT vec_id, round(CASE WHEN label = 0 THEN gw ELSE aw * gw - ax * gx - ay * gy - az * gz END, 6) AS ow,
+    SELECT vec_id, frame, round(CASE WHEN label = 0 THEN gw ELSE aw * gw - ax * gx - ay * gy - az * gz END, 6) AS ow,
       round(CASE WHEN label = 0 THEN gx ELSE aw * gx + ax * gw + ay * gz - az * gy END, 6) AS ox,
       round(CASE WHEN label = 0 THEN gy ELSE aw * gy - ax * gz + ay * gw + az * gx END, 6) AS oy,
       round(CASE WHEN label = 0 THEN gz ELSE aw * gz + ax * gy - ay * gx + az * gw END, 6) AS oz FROM u""",
 )
 def skin_orientation(spark, folder):
-    made = skinning.skin_orientation(skinning.with_pose(skinned(spark, folder), poses(spark, folder, 1)))
-    return rounded(made.select("vec_id", "ow", "ox", "oy", "oz"))
+    made = skinning.skin_orientation(skinning.with_pose(skinned(spark, folder), whole_poses(spark, folder)))
+    return rounded(made.select("vec_id", "frame", "ow", "ox", "oy", "oz"))
 
 
 @query(
     "top8_depth_order",
-    f"""WITH {SKIN}, d AS (SELECT vec_id, CASE WHEN any_value(label) = 0 THEN any_value(0.36 * x + 0.48 * y + 0.8 * z)
+    f"""WITH {SKIN}, d AS (SELECT vec_id, frame, CASE WHEN any_value(label) = 0 THEN any_value(0.36 * x + 0.48 * y + 0.8 * z)
         ELSE sum(w * ({" + ".join(f"{c} * ({r} + r{k} + t{k})" for c, k, r in zip((0.36, 0.48, 0.8), "xyz", rotate_sql("q", ("x - rx", "y - ry", "z - rz"))))})) END AS depth
-      FROM posed_v GROUP BY vec_id), b AS (SELECT min(depth) AS lo, max(depth) AS hi FROM d)
-    SELECT vec_id, round(depth, 6) AS depth, CAST(floor((depth - lo) / (hi - lo) * 65535 / 16) AS INT) AS coarse FROM d, b""",
+      FROM posed_v GROUP BY vec_id, frame), b AS (SELECT frame, min(depth) AS lo, max(depth) AS hi FROM d GROUP BY 1)
+    SELECT vec_id, frame, round(depth, 6) AS depth, CAST(floor((depth - lo) / (hi - lo) * 65535) AS INT) AS bucket FROM d JOIN b USING (frame)""",
 )
 def depth_order(spark, folder):
     view = (F.lit(0.36), F.lit(0.48), F.lit(0.8))
-    folded = skinning.fold_view_row(poses(spark, folder, 1), view)
+    folded = skinning.fold_view_row(whole_poses(spark, folder), view)
     deep = skinning.depth_order(skinned(spark, folder), folded, view)
     ordered_rows = skinning.back_to_front(deep, row_id="vec_id")
-    return rounded(ordered_rows.select("vec_id", "depth", F.floor(F.col("bucket") / 16).cast("int").alias("coarse")))
+    return rounded(ordered_rows.select("vec_id", "frame", "depth", "bucket"))
 
 
 FARTHEST = f"""WITH RECURSIVE {vectors_sql({"x": 1, "y": 2, "z": 3})},
