@@ -306,6 +306,29 @@ def interpolate_nodes(spark, folder):
     return rounded(skinning.interpolate_nodes(traj, wanted))
 
 
+KEY_TIME = "frame + (frame * frame % 7) / CAST(10 AS DOUBLE)"
+
+
+@query(
+    "win17_interpolate_by_time",
+    f"""WITH {FRAMES}, w AS (SELECT DISTINCT k / 3 AS t FROM (SELECT CAST(regexp_extract(props, '([0-9]+)', 1) AS DOUBLE) AS k FROM events)),
+    e AS (SELECT DISTINCT frame, {KEY_TIME} AS kt FROM traj_v),
+    b AS (SELECT t, max(CASE WHEN kt <= t THEN frame END) AS below, min(CASE WHEN kt >= t THEN frame END) AS above FROM w, e GROUP BY t),
+    c AS (SELECT t, l.frame AS lo, h.frame AS hi, CASE WHEN h.kt > l.kt THEN (t - l.kt) / (h.kt - l.kt) ELSE 0.0 END AS u
+      FROM b JOIN e l ON l.frame = coalesce(below, above) JOIN e h ON h.frame = coalesce(above, below)),
+    j AS (SELECT t, a.node, u, {", ".join(f"a.{n} AS a{n}, b.{n} AS b{n}" for n in TRAJ)} FROM c JOIN traj_v a ON a.frame = lo JOIN traj_v b ON b.frame = hi AND b.node = a.node),
+    s AS (SELECT *, CASE WHEN aqw * bqw + aqx * bqx + aqy * bqy + aqz * bqz < 0 THEN -1 ELSE 1 END AS s FROM j),
+    q AS (SELECT t, node, {", ".join(f"aq{k} + (s * bq{k} - aq{k}) * u AS q{k}" for k in "wxyz")}, {", ".join(f"at{k} + (bt{k} - at{k}) * u AS t{k}" for k in "xyz")} FROM s)
+    SELECT 1 AS scene_id, round(t, 6) AS t_sec, node, {", ".join(f"round(q{k} / sqrt(qw * qw + qx * qx + qy * qy + qz * qz), 6) AS q{k}" for k in "wxyz")},
+      {", ".join(f"round(t{k}, 6) AS t{k}" for k in "xyz")} FROM q""",
+)
+def interpolate_by_time(spark, folder):
+    traj, _ = trajectory(spark, folder)
+    times = traj.select("scene_id", "frame").distinct().withColumn("t_sec", F.col("frame") + (F.col("frame") * F.col("frame") % 7) / F.lit(10.0))
+    wanted = events(spark, folder).select(F.lit(1).alias("scene_id"), (F.col("k") / 3).alias("t_sec")).distinct()
+    return rounded(skinning.interpolate_nodes_at(traj, times, wanted))
+
+
 def rotate_sql(q, p):
     """Three expressions: ``p`` turned by the unit quaternion with prefix ``q``."""
     w, x, y, z = (f"{q}{k}" for k in "wxyz")
