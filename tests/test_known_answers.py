@@ -198,7 +198,7 @@ def test_files_of_many_layouts(spark, tmp_path):
     save("b.ply", [("extra", "uchar", "u1"), *must], [(9, 1, 2, 3, 4, 6)] * 2, filler=30_000)  # a header of two megabytes
     save("c.ply", [*must, ("extra", "double", "<f8")], [(1, 2, 3, 4, 7, 0.5)])
     save("d.ply", must, [])
-    rows = splats.read_splat_table(spark, str(tmp_path), bytes_per_partition=50)
+    rows = splats.read_splat_table(spark, str(tmp_path), bytes_per_partition=1 << 19)
     got = sorted((r.scene_id, r.gid, r.scale_0, r.extra) for r in rows.collect())
     assert got == [("a", 0, 5, None), ("a", 1, 5, None), ("a", 2, 5, None), ("b", 0, 6, 9), ("b", 1, 6, 9), ("c", 0, 7, 0.5)]
     (tmp_path / "e.ply").write_text("no such thing")
