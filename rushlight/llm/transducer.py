@@ -15,6 +15,8 @@ from rushlight.llm.pieces import SPACE, PieceModel, model_bytes, model_of
 CHUNK = 128  # characters of a chunk; all chunks of a slice advance together
 SLICE_CHARS = 4_000_000  # characters taken together
 MAX_STATES = 200_000  # states kept before the table starts again
+GUESS = 32  # characters before a chunk from which its entry state is guessed
+MAX_ROUNDS = 64  # guesses of entry states per chunk before the rest is walked one chunk after the other
 MAX_CELLS = 128 << 20  # cells (state, class) of 5 bytes at which it starts again; bounds a worker's memory
 START, WORD = 0, 1  # states: nothing read yet, and a word's mark just read
 
@@ -143,10 +145,9 @@ class CountTransducer:
 
         The texts are laid end to end and cut into chunks. A chunk's state map sends an entry state to an exit state and
         a count. Where the chunk has a word mark, the map is constant from there on, and the part from its first mark
-        is run for all chunks at once. The heads before the marks, and chunks without one, take their entry from the
-        composed maps of the chunks before them: a scan in which constant maps stop the composition, so that it ends
-        after as many rounds as the longest run of chunks without a mark. Counts per text are differences of the
-        running sum.
+        is run for all chunks at once. The heads before the marks, and chunks without one, get their map over the entry
+        states that can come up: see ``maps``. A scan composes the maps by doubling, so that a stretch of n chunks
+        without a mark takes log n rounds. Counts per text are differences of the running sum.
         """
         self.live = []
         if len(self.keys) > self.room():
@@ -168,7 +169,7 @@ class CountTransducer:
         fresh = is_mark.copy()
         fresh[1:] &= ~is_mark[:-1]
         fresh = fresh & self.model.splits_words | first & is_mark & self.model.splits_words
-        changes = np.zeros(total, np.int8)
+        changes = np.zeros(total, np.int16)
         lanes = -(-total // CHUNK)
         pad = lanes * CHUNK - total
         grid_fresh = np.concatenate([fresh, np.zeros(pad, bool)]).reshape(lanes, CHUNK)
@@ -197,7 +198,14 @@ class CountTransducer:
         if len(own):
             exits[own] = advance(own, np.zeros(len(own), np.int64), opens[own], np.full(len(own), CHUNK))
         waiting = np.flatnonzero(opens > 0)
-        while len(waiting):
+        if len(waiting):
+            lane, entry, left, count = self.maps(classes, opens, exits, waiting)
+            real = compose(lane, entry, left, opens, exits)
+            through = real & (opens[lane] == CHUNK)
+            exits[lane[through]] = left[through]
+            changes[lane[real] * CHUNK] = count[real]  # no text ends inside a head: its count may stand at its start
+            waiting = np.setdiff1d(waiting, lane[real])
+        while len(waiting):  # what ``MAX_ROUNDS`` guesses left open
             entry = exits[waiting - 1]
             ready = waiting[entry >= 0]
             end = opens[ready]
@@ -209,6 +217,66 @@ class CountTransducer:
         return running[starts + sizes] - running[starts]
 
 
+    def maps(
+        self, classes: np.ndarray, opens: np.ndarray, exits: np.ndarray, lanes: np.ndarray
+    ) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """State maps of the heads of chunks ``lanes``: (chunk, entry state, exit state, tokens), sorted by the first two.
+
+        A chunk behind one with a known exit has that entry alone. Any other is entered by a guess, read from the
+        ``GUESS`` characters before it alone, and by all exits of the chunk before it. All chunks advance together, round by round, until no entry is new: different
+        entries soon meet in one state, or go round a few, as the places of a repeated letter do.
+        """
+        new_lane, new_entry = lanes, exits[lanes - 1].copy()
+        unsure = np.flatnonzero(new_entry < 0)
+        guess = np.full(len(unsure), START)
+        self.live = [exits, new_entry, guess]
+        for back in range(GUESS, 0, -1):
+            if len(unsure):
+                guess[:] = self.run(guess, classes[lanes[unsure] * CHUNK - back])[0]
+        new_entry[unsure] = guess
+        lane = entry = left = count = np.zeros(0, np.int64)
+        for _ in range(MAX_ROUNDS):
+            state, sums = new_entry.copy(), np.zeros(len(new_lane), np.int64)
+            entry, left, new_entry = entry.copy(), left.copy(), new_entry.copy()
+            self.live = [exits, entry, left, new_entry, state]
+            end = np.minimum(opens[new_lane], len(classes) - new_lane * CHUNK)
+            for column in range(int(end.max())):
+                on = np.flatnonzero(column < end)
+                state[on], change = self.run(state[on], classes[new_lane[on] * CHUNK + column])
+                sums[on] += change
+            lane, entry = np.concatenate([lane, new_lane]), np.concatenate([entry, new_entry])
+            left, count = np.concatenate([left, state]), np.concatenate([count, sums])
+            on = np.flatnonzero(opens[new_lane] == CHUNK)
+            on = on[new_lane[on] + 1 < len(opens)]
+            on = on[opens[new_lane[on] + 1] > 0]
+            asked = np.setdiff1d(_pair(new_lane[on] + 1, state[on]), _pair(lane, entry))
+            if not len(asked):
+                break
+            new_lane, new_entry = asked >> 32, asked & 0xFFFFFFFF
+        order = np.argsort(_pair(lane, entry))
+        return lane[order], entry[order], left[order], count[order]
+
+
+def _pair(lane: np.ndarray, state: np.ndarray) -> np.ndarray:
+    return lane.astype(np.int64) << 32 | state.astype(np.int64)
+
+
+def compose(lane: np.ndarray, entry: np.ndarray, left: np.ndarray, opens: np.ndarray, exits: np.ndarray) -> np.ndarray:
+    """Which rows of the state maps the text takes, by doubling: maps of one chunk, two, four and so on are composed, and
+    each time the rows known to be taken reach twice as far."""
+    n = len(lane)
+    keys = _pair(lane, entry)
+    after = _pair(lane + 1, left)
+    at = np.minimum(np.searchsorted(keys, after), n - 1)
+    ahead = np.where((opens[lane] == CHUNK) & (keys[at] == after), at, n)  # n: the stretch ends
+    ahead = np.append(ahead, n)
+    real = np.append(exits[lane - 1] >= 0, False)
+    while (ahead < n).any():
+        real[ahead[real]] = True
+        ahead = ahead[ahead]
+    return real[:n]
+
+
 _transducers: dict[int, CountTransducer] = {}
 
 

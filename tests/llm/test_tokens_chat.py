@@ -1,5 +1,6 @@
 import hashlib
 import random
+import time
 
 import public_tokenizers
 import pytest
@@ -138,6 +139,30 @@ def test_states_are_bounded_inside_a_slice(model, monkeypatch):
     assert made
 
 
+def unbroken_texts():
+    rnd = random.Random(8)
+    texts = ["x" * 40_001, "ab" * 20_000, "aab" * 9_000 + "b", "你好" * 9_000, "".join(rnd.choices("ACGT", k=50_000))]
+    texts += ["".join(rnd.choices("abcdefghijklmnopqrstuvwxyzABC0123456789+/", k=n)) for n in (127, 128, 129, 1_000, 300_000)]
+    return ["a b"] + texts + ["tail"] + [t + " end " + t[:700] for t in texts]
+
+
+@pytest.mark.parametrize("rounds", [1, 3, 64])
+def test_state_maps_compose_over_texts_without_a_space(model, monkeypatch, rounds):
+    monkeypatch.setattr(transducer, "MAX_ROUNDS", rounds)
+    texts = [t[:6_000] for t in unbroken_texts()] if rounds < 64 else unbroken_texts()
+    want = [len(x) for x in LIBRARY.encode(texts)]
+    assert transducer.CountTransducer(model).count(texts).tolist() == want
+    assert transducer.CountTransducer(model, max_states=300).count(texts).tolist() == want
+
+
+def test_a_million_characters_without_a_space(model):
+    for text in ("ab" * 500_000, "".join(random.Random(9).choices("etaoinshrdlu", k=300_000))):
+        begin = time.perf_counter()
+        got = transducer.CountTransducer(model).count([text])
+        assert time.perf_counter() - begin < 10
+        assert got.tolist() == [len(LIBRARY.encode(text))]
+
+
 def test_ids_beyond_doubles_beside_a_null(spark):
     ids = [2**53 + 1, 2**53 + 2, None, -(2**53) - 1]
     rows = [(i, t, role, f"{role} {i}") for i in ids for t, role in enumerate(("user", "assistant"))]
