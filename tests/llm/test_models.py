@@ -102,6 +102,68 @@ def test_spelling_models_are_distributions():
     assert models.log_ratios(["baba"])[0] > 0 > models.log_ratios(["abba"])[0]
 
 
+def models_of(words, counts):
+    word, grams, contexts = toxicity._grams(words)
+    _, first, at = np.unique(grams[toxicity.CONTEXT], return_index=True, return_inverse=True)
+    sums = np.stack([np.bincount(at, c[word]) for c in np.asarray(counts).T], axis=1)
+    return np.stack([g[first] for g in grams] + [c[first] for c in contexts], axis=1).view(np.int64), sums
+
+
+def brute_ratio(words, counts, asked):
+    """log p(asked | 1) - log p(asked | 0) by the definition, over strings."""
+    n = toxicity.CONTEXT
+    seen = [[Counter(), Counter()] for _ in range(n + 1)]
+    for w, both in zip(words, counts):
+        line = "^" * n + w + "$"
+        for at in range(n, len(line)):
+            for c in (0, 1):
+                seen[n][c][line[at - n : at + 1]] += int(both[c])
+    for k in range(n - 1, -1, -1):
+        for c in (0, 1):
+            for gram in {g for g, x in seen[k + 1][c].items() if x}:
+                seen[k][c][gram[1:]] += 1
+    seen[0] = [seen[0][0] + seen[0][1]] * 2
+    letters = len(seen[0][0])
+
+    def p(c, k, gram):
+        if k < 0:
+            return 1 / (letters + 1)
+        lower = p(c, k - 1, gram[1:])
+        after = [x for g, x in seen[k][c].items() if g[:-1] == gram[:-1] and x]
+        if not after:
+            return lower
+        floor = toxicity.DISCOUNT if k else 0.5
+        return (max(seen[k][c][gram] - floor, 0) + floor * len(after) * lower) / sum(after)
+
+    line = "^" * n + asked + "$"
+    return sum(np.log(p(1, n, line[at - n : at + 1]) / p(0, n, line[at - n : at + 1])) for at in range(n, len(line)))
+
+
+@pytest.mark.parametrize("parts", [1, 2, 7])
+def test_models_against_brute_force_kneser_ney(parts):
+    rnd = np.random.default_rng(3)
+    words = sorted({"".join(rnd.choice(list("abcde"), rnd.integers(1, 9))) for _ in range(120)})
+    counts = rnd.integers(0, 4, (len(words), 2))
+    counts[counts.sum(axis=1) == 0] = [1, 0]
+    keys, sums = models_of(words, counts)
+    part = keys[:, toxicity.CONTEXT + 1 + toxicity.SHARED] % parts
+    made = [toxicity.build_part(keys[part == i], sums[part == i]) for i in range(parts)]
+    shared = toxicity.build_shared([m[1:] for m in made])
+    asked = words[:40] + ["", "zz", "abcdeabcde", "ez", "é"]
+    got = sum(toxicity.SpellingModels(shared + m[0], i, parts).log_ratios(asked) for i, m in enumerate(made))
+    assert np.allclose(got, [brute_ratio(words, counts, w) for w in asked], atol=1e-9)
+
+
+def test_models_in_parts_score_as_one(spark, edge_docs):
+    folder = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text").union(edge_docs.select("doc_id", "text"))
+    labels = spark.read.parquet(f"{folder}/labels.parquet")
+    order = ["doc_id", "n_words", "log_ratio"]
+    one, more = ([tuple(r) for r in toxicity.score_toxicity(docs, labels, part_grams=g).orderBy(*order).collect()] for g in (10**9, 2_000))
+    assert [(a[0], a[2]) for a in one] == [(b[0], b[2]) for b in more] and len(one) == docs.count()
+    assert np.allclose([a[1:] for a in one], [b[1:] for b in more], atol=1e-6)
+
+
 def test_toxicity_edges(edge_docs, no_docs, labels):
     rows = toxicity.score_toxicity(edge_docs, labels).collect()
     assert len(rows) == edge_docs.count() and all(0 <= r.score <= 1 for r in rows)
