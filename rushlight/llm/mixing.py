@@ -12,7 +12,7 @@ from rushlight.plans.sizing import settle
 
 WHITE = r"[\x20\x09-\x0D]+"
 BINS = 4096  # hash ranges per pattern in which sizes are added up before single documents are looked at
-MAX_PATTERNS = 10_000  # distinct membership patterns; refused beyond, since they are collected
+MAX_PATTERNS = 200_000  # distinct membership patterns; refused beyond, since they are collected
 
 
 def word_count(text: Column) -> Column:
@@ -34,70 +34,130 @@ def source_targets(
     left, open_, targets = share * sum(sizes.values()), list(order), {}
     while open_:
         total = sum(weight[s] for s in open_)
-        over = [s for s in open_ if left * weight[s] / total > most * sizes[s]]
+        over = {s for s in open_ if left * weight[s] / total > most * sizes[s]}
         if not over:
             return targets | {s: left * weight[s] / total for s in open_}
-        for s in over:
-            targets[s] = most * sizes[s]
-        left -= sum(targets[s] for s in over)
+        full = [s for s in open_ if s in over]
+        targets |= {s: most * sizes[s] for s in full}
+        left -= sum(targets[s] for s in full)
         open_ = [s for s in open_ if s not in over]
     return targets
-    return targets
+
+
+def _max_flow(heads: list[int], room: list[int], out: list[list[int]], start: int, end: int) -> None:
+    """Send all that fits from ``start`` to ``end`` in blocking flows, one for each distance. Arc 2i and 2i + 1 are each
+    other's way back; ``room`` is what an arc still holds and is changed in place. Arcs are tried in their order."""
+    while True:
+        level = [-1] * len(out)
+        level[start] = 0
+        queue = deque([start])
+        while queue and level[end] < 0:
+            a = queue.popleft()
+            for e in out[a]:
+                if room[e] > 0 and level[heads[e]] < 0:
+                    level[heads[e]] = level[a] + 1
+                    queue.append(heads[e])
+        if level[end] < 0:
+            return
+        tried = [0] * len(out)
+        path: list[int] = []
+        node = start
+        while True:
+            if node == end:
+                least = min(room[e] for e in path)
+                for e in path:
+                    room[e] -= least
+                    room[e ^ 1] += least
+                # go on from the tail of the first full arc
+                at = next(i for i, e in enumerate(path) if not room[e])
+                node = heads[path[at] ^ 1]
+                del path[at:]
+                continue
+            while tried[node] < len(out[node]):
+                e = out[node][tried[node]]
+                if room[e] > 0 and level[heads[e]] == level[node] + 1:
+                    break
+                tried[node] += 1
+            if tried[node] < len(out[node]):
+                path.append(e)
+                node = heads[e]
+            elif path:
+                node = heads[path.pop() ^ 1]
+                tried[node] += 1
+            else:
+                break
+
+
+def _route_together(
+    patterns: dict[int, tuple[list[int], int]], quotas: list[int], repeats: int
+) -> dict[int, tuple[int, dict[int, int]]]:
+    """``route`` for patterns that hang together through their sources."""
+    place = {s: i for i, s in enumerate(sorted({s for sources, _ in patterns.values() for s in sources}))}
+    n = len(place)
+    start, end = n + len(patterns), n + len(patterns) + 1
+    heads: list[int] = []
+    room: list[int] = []
+    out: list[list[int]] = [[] for _ in range(end + 1)]
+
+    def arc(a: int, b: int, most: int) -> int:
+        for tail, head, space in ((a, b, most), (b, a, 0)):
+            out[tail].append(len(heads))
+            heads.append(head)
+            room.append(space)
+        return len(heads) - 2
+
+    for s, i in place.items():
+        arc(start, i, quotas[s])
+    routed, last = {}, {}
+    for at, (number, (sources, size)) in enumerate(patterns.items()):
+        for s in sources:
+            routed[number, s] = arc(place[s], n + at, repeats * size)
+        last[number] = arc(n + at, end, 0)
+    # only the last arc of a path costs, by how often its text is read: cheapest paths are those with the least repeats
+    for _ in range(repeats):
+        for number, (_, size) in patterns.items():
+            room[last[number]] += size
+        _max_flow(heads, room, out, start, end)
+    taken = {}
+    for number, (sources, _) in patterns.items():
+        by = {s: room[routed[number, s] + 1] for s in sources}
+        taken[number] = (sum(by.values()), by)
+    return taken
 
 
 def route(
     patterns: dict[int, tuple[list[int], int]], quotas: list[int], repeats: int
 ) -> dict[int, tuple[int, dict[int, int]]]:
-    """Min-cost flow from source quotas through membership patterns into their text, by successive shortest paths.
+    """Min-cost flow from source quotas through membership patterns into their text.
 
     ``patterns``: number -> (sources, size). Reading a pattern's text the first time costs 0, the second time 1, the
     third time 3 and so on (convex), so text is repeated only where a quota cannot be met with new text. Returns
-    for each pattern the words taken in all and by source. Deterministic: nodes are tried in their order.
+    for each pattern the words taken in all and by source. Patterns that share no source, directly or through others,
+    are routed apart; a source whose text is one pattern's and in no other source needs no flow. Deterministic: nodes
+    are tried in their order.
     """
-    n, m = len(quotas), len(patterns)
-    start, end = n + m, n + m + 1
-    graph: list[list[list[int]]] = [[] for _ in range(n + m + 2)]  # arcs: to, left, cost, place of the reverse arc
-
-    def arc(a: int, b: int, room: int, cost: int) -> list[int]:
-        graph[a].append([b, room, cost, len(graph[b])])
-        graph[b].append([a, 0, -cost, len(graph[a]) - 1])
-        return graph[a][-1]
-
-    for s, quota in enumerate(quotas):
-        arc(start, s, quota, 0)
-    routed = {}
-    for at, (number, (sources, size)) in enumerate(patterns.items()):
-        for s in sources:
-            routed[number, s] = arc(s, n + at, repeats * size, 0)
-        for copy in range(repeats):
-            arc(n + at, end, size, copy * (copy + 1) // 2)
-    while True:
-        cost, back = {start: 0}, {}
-        queue, queued = deque([start]), {start}
-        while queue:
-            a = queue.popleft()
-            queued.discard(a)
-            for at, (b, room, price, _) in enumerate(graph[a]):
-                if room > 0 and cost[a] + price < cost.get(b, 1 << 60):
-                    cost[b], back[b] = cost[a] + price, (a, at)
-                    if b not in queued:
-                        queue.append(b)
-                        queued.add(b)
-        if end not in cost:
-            break
-        path, b = [], end
-        while b != start:
-            path.append(back[b])
-            b = back[b][0]
-        room = min(graph[a][at][1] for a, at in path)
-        for a, at in path:
-            edge = graph[a][at]
-            edge[1] -= room
-            graph[edge[0]][edge[3]][1] += room
+    above = list(range(len(quotas)))
+
+    def root(s: int) -> int:
+        while above[s] != s:
+            above[s] = above[above[s]]
+            s = above[s]
+        return s
+
+    for sources, _ in patterns.values():
+        for s in sources[1:]:
+            above[root(s)] = root(sources[0])
+    together: dict[int, list[int]] = {}
+    for number, (sources, _) in patterns.items():
+        together.setdefault(root(sources[0]), []).append(number)
     taken = {}
-    for number, (sources, size) in patterns.items():
-        by = {s: repeats * size - routed[number, s][1] for s in sources}
-        taken[number] = (sum(by.values()), by)
+    for numbers in together.values():
+        sources, size = patterns[numbers[0]]
+        if len(numbers) == 1 and len(sources) == 1:
+            words = min(quotas[sources[0]], repeats * size)
+            taken[numbers[0]] = (words, {sources[0]: words})
+        else:
+            taken |= _route_together({i: patterns[i] for i in numbers}, quotas, repeats)
     return taken
 
 

@@ -1,6 +1,7 @@
 import itertools
 import random
 import re
+import time
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -153,6 +154,39 @@ def test_flow_is_cheapest_for_overlapping_sources():
         assert (-sum(t for t, _ in taken.values()), cost) == best
 
 
+def test_flow_of_many_overlapping_patterns():
+    rnd = random.Random(12)
+    n = 6_000
+    patterns = {i: (sorted({i % n, rnd.randrange(n), (i * 7) % n}), rnd.randint(0, 900)) for i in range(2 * n)}
+    quotas = [rnd.randint(0, 3_000) for _ in range(n)]
+    begin = time.perf_counter()
+    taken = mixing.route(patterns, quotas, 2)
+    assert time.perf_counter() - begin < 20
+    sent = Counter()
+    for i, (words, by) in taken.items():
+        assert words == sum(by.values()) <= 2 * patterns[i][1] and min(by.values()) >= 0 and set(by) == set(patterns[i][0])
+        sent.update(by)
+    assert all(sent[s] <= quotas[s] for s in range(n))
+    # a source left short reaches only texts that are read twice, through whatever sources could give way
+    reached, at = {s for s in range(n) if sent[s] < quotas[s]}, None
+    while at != len(reached):
+        at = len(reached)
+        near = [i for i, (sources, _) in patterns.items() if reached & set(sources)]
+        reached |= {s for i in near for s, words in taken[i][1].items() if words}
+    assert all(taken[i][0] == 2 * patterns[i][1] for i in near)
+
+
+def test_many_sources(spark):
+    n = 50_000
+    docs = spark.range(2 * n).select(
+        F.col("id").alias("doc_id"), F.format_string("s%05d", F.col("id") % n).alias("source"), F.repeat(F.lit("w "), 3).alias("text")
+    )
+    mixed = mixing.mix_sources(docs, F.array("source"))
+    by = mixed.groupBy("source").agg(F.sum("taken").alias("taken"), F.first("pattern_target").alias("target")).collect()
+    assert len(by) == n and all(abs(r.taken - r.target) <= 3 for r in by)
+    assert abs(sum(r.target for r in by) - 1.5 * 6 * n) < 1
+
+
 def test_mix_with_overlap_and_edges(spark, edge_docs, no_docs):
     both = edge_docs.withColumn("source", F.array(F.col("source"), F.lit("all")))
     rows = mixing.mix_sources(both, F.col("source")).collect()
