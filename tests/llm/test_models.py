@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from rushlight.llm import blocks, linkgraph, toxicity
+from rushlight.llm import blocks, linkgraph, queries, toxicity
 
 FOLDER = "/root/testdata/sf0.01"
 
@@ -172,6 +172,15 @@ def test_toxicity_edges(edge_docs, no_docs, labels):
     assert {round(r.score, 6) for r in blind} == {0.5}
 
 
+def test_a_null_id_is_not_held_out(spark, tmp_path):
+    rows = [(None, "plain words"), (1, "other words"), (2, None)]
+    spark.createDataFrame(rows, "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    marks = [(None, 1), (1, 0), (2, 1)]
+    spark.createDataFrame(marks, "doc_id bigint, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    got = {r.doc_id: r.held_out for r in queries.op4_toxicity(spark, str(tmp_path)).collect()}
+    assert got[None] is False and None not in got.values() and len(got) == 3
+
+
 URLS = [
     "http://a.org/x", "https://EXAMPLE.org/es/1?q#f", "http://www.example.org/en/12", "http://example.org/en/2", "http://x.com/fr/1",
     "http://com/de/", "ftp://b.c.com/de/4?x://y", "no scheme", None, "", "http://", "http://host", "http://host?q=/de/", "http://Ä.Com/fr/",
