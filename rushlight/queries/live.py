@@ -216,8 +216,7 @@ def selection_replay(spark, folder):
 @query("str6_live_selection", SELECTED)
 def live_selection(spark, folder):
     planes = table(spark, folder, "embeddings")
-    stream = spark.readStream.schema(planes.schema).option("pathGlobFilter", "embeddings.parquet").parquet(folder)
-    rows = pixels.grey_planes(stream).withColumn("ts", F.timestamp_seconds(F.col("frame") + 1_000_000_000))
+    rows = pixels.grey_planes(streamed(spark, folder, "embeddings")).withColumn("ts", F.timestamp_seconds(F.col("frame") + 1_000_000_000))
     end = planes.agg(F.timestamp_seconds(F.max("vec_id") + 1_000_086_400).alias("end"))
     return selected(drain(spark, live.live(ended(spark, rows, "ts", end), "select", "ts", blur=0.9, **CHOICE)))
 
@@ -260,15 +259,14 @@ def drain(spark, stream, mode="append"):
     return spark.read.schema(stream.schema).parquet(f"{place}/out")
 
 
-def event_stream(spark, folder):
-    """The event file as a stream, one file source micro-batch at a time."""
-    schema = table(spark, folder, "events").schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(folder)
+def streamed(spark, folder, name):
+    """A table as a stream, whether it is one file or a folder of files (a file source takes a single file by a pattern only)."""
+    return spark.readStream.schema(table(spark, folder, name).schema).parquet(f"{folder}/{name}.parque[t]")
 
 
 def named_events(spark, folder):
     """The stream as ``views.events`` names it, with its event time."""
-    return event_columns(event_stream(spark, folder), F.col("ts").cast("timestamp").alias("ts"))
+    return event_columns(streamed(spark, folder, "events"), F.col("ts").cast("timestamp").alias("ts"))
 
 
 def sensor_stream(spark, folder):

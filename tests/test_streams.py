@@ -166,3 +166,13 @@ def test_ingest_appends_once(spark, tmp_path):
     found = spark.read.parquet(str(tmp_path / "table" / "captures"))
     assert found.count() == 4 and found.select("session_key").distinct().count() == 4
     assert spark.read.parquet(str(tmp_path / "table" / "issues")).count() == 4
+
+
+def test_a_table_of_several_files_streams_whole(spark, tmp_path):
+    from rushlight.queries import live as bound
+
+    for name in ("embeddings", "events"):
+        spark.read.parquet(f"/root/testdata/sf0.001/{name}.parquet").repartition(3).write.parquet(str(tmp_path / f"{name}.parquet"))
+    for tracked, replayed in ((bound.live_selection, bound.selection_replay), (bound.live_rate, bound.rate_replay)):
+        got, want = tracked(spark, str(tmp_path)), replayed(spark, "/root/testdata/sf0.001")
+        assert sorted(map(str, got.collect())) == sorted(map(str, want.select(got.columns).collect())) != []
