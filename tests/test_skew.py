@@ -226,3 +226,21 @@ def test_farthest_points_in_blocks(spark):
     for how in ({"block_points": 100, "top": 40}, {}):
         got = splats.farthest_points(rows, **how)
         assert [tuple(r) for r in got.select("scene_id", "node", "gid").orderBy("scene_id", "node").collect()] == want
+
+
+def test_correlations_alone_move_counted_values_only(spark):
+    import numpy as np
+
+    from rushlight.plans.sizing import tables_made
+
+    rows = spark.range(60_000).select(
+        F.element_at(F.array(F.lit("a"), F.lit("b")), (F.col("id") % 2 + 1).cast("int")).alias("signal"), "id",
+        F.pmod(F.col("id") * 7, F.lit(11)).cast("double").alias("x"), F.pmod(F.col("id") * F.col("id"), F.lit(101)).cast("double").alias("y"),
+    )
+    with tables_made() as made:
+        got = {r.signal: r for r in study.spearman(rows, permutations=0).collect()}
+    assert made and max(spark.read.parquet(path).count() for path in made) <= 202
+    frame = rows.toPandas()
+    for signal, part in frame.groupby("signal"):
+        want = np.corrcoef(part["x"].rank(), part["y"].rank())[0, 1]
+        assert got[signal].n == len(part) and abs(got[signal].rho - want) < 1e-9
