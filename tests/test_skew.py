@@ -244,3 +244,15 @@ def test_correlations_alone_move_counted_values_only(spark):
     for signal, part in frame.groupby("signal"):
         want = np.corrcoef(part["x"].rank(), part["y"].rank())[0, 1]
         assert got[signal].n == len(part) and abs(got[signal].rho - want) < 1e-9
+
+
+def test_a_place_is_worked_out_once_for_many_blocks(spark, monkeypatch):
+    """Ranks in 14 blocks: one unit for each block and chunk of permutations, none for each pair of blocks."""
+    from rushlight.plans.sizing import tables_made
+
+    rows = spark.range(98).select(F.lit("s").alias("signal"), "id", (F.col("id") % 9).cast("double").alias("x"), (F.col("id") % 7).cast("double").alias("y"))
+    asked = []
+    monkeypatch.setattr(study, "UNIT_TASKS", type("Seen", (int,), {"__gt__": lambda s, o: asked.append(o) or int(s) > o, "__lt__": lambda s, o: asked.append(o) or int(s) < o})(4096))
+    with tables_made():
+        study.spearman(rows, permutations=100, rank_block=7)
+    assert asked and max(asked) == 14
