@@ -211,7 +211,10 @@ def clean_masks(pieces: DataFrame, capture: str = "capture_id") -> DataFrame:
         )
 
     schema = f"{capture} {kind}, frame {frame_kind}, height int, width int, mask binary, fraction double"
-    return pieces.groupBy(capture, "frame").applyInPandas(clean, schema)
+    # small planes make few bytes and much work: a fixed number of tasks is not merged for its size
+    spark = pieces.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+    return pieces.repartition(tasks, capture, "frame").groupBy(capture, "frame").applyInPandas(clean, schema)
 
 
 def union_mask(masks: DataFrame, capture: str = "capture_id", band_rows: int = BAND_ROWS) -> DataFrame:

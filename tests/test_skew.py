@@ -256,3 +256,13 @@ def test_a_place_is_worked_out_once_for_many_blocks(spark, monkeypatch):
     with tables_made():
         study.spearman(rows, permutations=100, rank_block=7)
     assert asked and max(asked) == 14
+
+
+def test_cleaning_small_planes_spreads(spark):
+    from rushlight.operators import masks
+
+    rows = [(1, f, 8, 8, 0, bytes(bytearray([int(8 <= i < 40) for i in range(64)]))) for f in range(40)]
+    pieces = spark.createDataFrame(rows, "capture_id int, frame long, height int, width int, band int, mask binary")
+    made = masks.clean_masks(pieces.repartition("capture_id"))
+    used = made.withColumn("part", F.spark_partition_id()).groupBy("part").count().collect()
+    assert sum(r["count"] for r in used) == 40 and len(used) > 4
