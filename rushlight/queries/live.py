@@ -20,6 +20,8 @@ from rushlight.streaming import live
 
 # samples squeezed to the rate of a sensor: the stream's month becomes minutes
 SQUEEZE = 200_000
+# captures of the event table are many and short, so a lane has many
+LANES = 512
 
 
 def fast_sensors(rows):
@@ -194,7 +196,7 @@ def rate_replay(spark, folder):
 @query("str5_live_rate", RATES)
 def live_rate(spark, folder):
     rows = ended(spark, rate_rows(named_events(spark, folder)), "ts", event_end(spark, folder))
-    return rounded(drain(spark, live.live(rows, "rate", "ts", ["event_id"])), 9)
+    return rounded(drain(spark, live.live(rows, "rate", "ts", ["event_id"], lanes=LANES)), 9)
 
 
 SELECTED = f"""{pixels.SELECT_WALK}

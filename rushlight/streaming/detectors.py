@@ -257,9 +257,9 @@ class Rate:
         padded = np.concatenate([np.zeros(RATE_WINDOW - 1), speeds])
         rate = (np.lib.stride_tricks.sliding_window_view(padded, RATE_WINDOW).sum(1) / size)[len(s["speeds"]) :]
         s["speeds"] = speeds[-(RATE_WINDOW - 1) :].tolist()
-        seen = (rows["exposure_s"] > 0) & (rows["focal_px"] > 0)
-        smear = np.where(seen, np.abs(rate) * rows["exposure_s"] * rows["focal_px"], 0.0)
-        return pd.DataFrame({"t_ns": rows["t_ns"], "angular_rate": rate, "blur_px": smear})
+        exposure, focal = rows["exposure_s"].to_numpy(float), rows["focal_px"].to_numpy(float)
+        smear = np.where((exposure > 0) & (focal > 0), np.abs(rate) * exposure * focal, 0.0)
+        return pd.DataFrame({"t_ns": rows["t_ns"].to_numpy(), "angular_rate": rate, "blur_px": smear})
 
 
 class Select:

@@ -119,6 +119,28 @@ def test_a_silent_capture_is_forgotten(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "out")).filter("capture_id < 3").count() == 40
 
 
+def test_captures_share_lanes(spark, tmp_path):
+    """Lanes change nothing in the result; many captures wait in few entries, and silent ones are forgotten in a busy lane."""
+    rows = [(c, t, float((c + t) % 5), 0.01, 1300.0) for c in range(40) for t in range(50)]
+    rows += [(40 + t // 1000, t, 1.0, 0.01, 1300.0) for t in (100, 2000, 4000)]  # time goes on for others
+    schema = "capture_id long, t_ns long, speed double, exposure_s double, focal_px double"
+    for part in (rows[:2000], rows[2000:2001], rows[2001:2002], rows[2002:]):
+        df = spark.createDataFrame(part, schema).withColumn("ts", F.timestamp_seconds(F.col("t_ns") + 1_700_000_000))
+        df.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(schema + ", ts timestamp").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    made = live.live(stream, "rate", "ts", idle_ms=60_000, lanes=1)
+    state = str(tmp_path / "state")
+    made.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination(180)
+    got = spark.read.schema(made.schema).parquet(str(tmp_path / "out")).filter("capture_id < 40").toPandas().sort_values(["capture_id", "t_ns"], ignore_index=True)
+    plain = spark.createDataFrame(rows[:2000], schema)
+    want = motion.angular_rate(plain, Timeline.measure(plain, ["capture_id"], "t_ns"), "speed").toPandas().sort_values(["capture_id", "t_ns"], ignore_index=True)
+    assert np.allclose(got["angular_rate"], want["angular_rate"]) and (got["t_ns"] == want["t_ns"]).all()
+    store = lambda name, batch: spark.read.format("statestore").option("stateVarName", name).option("batchId", batch).load(state)
+    assert store("waiting", 0).count() == 1  # 2,000 rows of 40 captures
+    last = max(int(f.name) for f in (tmp_path / "state" / "offsets").iterdir() if f.name.isdigit())
+    assert {r.user_map_key.capture for r in store("kept", last).select("user_map_key").collect()} == {"=42"}
+
+
 def test_the_gate_follows_the_serial_recurrence(spark):
     """Rows near the limit, a hot capture in many blocks: the windows agree with a walk along every capture."""
     from rushlight.plans.recurrence import gated_ema
