@@ -172,7 +172,7 @@ def lock_events(spark, folder):
 @query("str4_live_locks", LOCKS)
 def live_locks(spark, folder):
     rows = ended(spark, lock_rows(named_events(spark, folder)), "ts", event_end(spark, folder))
-    return drain(spark, live.live(rows, "locks", "ts", ["event_id"]))
+    return drain(spark, live.live(rows, "locks", "ts", ["event_id"], lanes=LANES))
 
 
 RATES = f"""WITH {EVENTS}, r AS (SELECT event_id, capture_id, t, avg(value) OVER (PARTITION BY capture_id ORDER BY t, event_id ROWS BETWEEN 31 PRECEDING AND CURRENT ROW) AS r, k FROM events_v)

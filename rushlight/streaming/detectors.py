@@ -217,19 +217,20 @@ class Locks:
 
     def advance(self, s: dict, rows: pd.DataFrame) -> pd.DataFrame:
         exposure, wanted = rows["exposure_ns"], rows["requested_ns"]
-        checked = (exposure.notna() & wanted.notna()).to_numpy()
-        gap = (exposure.fillna(0).astype("int64") - wanted.fillna(0).astype("int64")).abs()
-        drift = checked & (gap > wanted.fillna(0).astype("int64") // 50).to_numpy()
+        checked = (exposure.notna() & wanted.notna()).to_numpy(bool)
+        got, asked = (c.fillna(0).to_numpy(np.int64) for c in (exposure, wanted))
+        drift = checked & (np.abs(got - asked) > asked // 50)
         n, m = s["checked"] + np.cumsum(checked), s["matched"] + np.cumsum(checked & ~drift)
         tests, details = {}, {}
         for kind, column in (("lens_switch", "physical_id"), ("crop_changed", "crop")):
-            values = rows[column]
-            if s[column] is None and values.notna().any():
-                s[column] = str(values.dropna().iloc[0])
-            tests[kind] = (values.notna() & (values != s[column])).to_numpy()
-            details[kind] = lambda i, column=column: f"{s[column]} -> {rows[column].iloc[i]}"
-        tests |= {"exposure_drift": drift, "awb_not_manual": (rows["awb_manual"].notna() & (rows["awb_manual"] == False)).to_numpy()}  # noqa: E712
-        details |= {"exposure_drift": lambda i: f"requested {int(wanted.iloc[i])} ns, got {int(exposure.iloc[i])}", "awb_not_manual": lambda i: "requested OFF"}
+            values, there = rows[column].to_numpy(object), rows[column].notna().to_numpy()
+            if s[column] is None and there.any():
+                s[column] = str(values[there.argmax()])
+            tests[kind] = there & (values != s[column])
+            details[kind] = lambda i, column=column, values=values: f"{s[column]} -> {values[i]}"
+        manual = rows["awb_manual"].to_numpy(object)
+        tests |= {"exposure_drift": drift, "awb_not_manual": np.equal(manual, False).astype(bool)}
+        details |= {"exposure_drift": lambda i: f"requested {asked[i]} ns, got {got[i]}", "awb_not_manual": lambda i: "requested OFF"}
         found = []
         for kind in sorted(set(tests) - set(s["seen"])):
             if tests[kind].any():
