@@ -98,7 +98,7 @@ def stillness(spark, folder):
 @query("str1_live_stillness", STILLNESS)
 def live_stillness(spark, folder):
     rows = ended(spark, marked_sensors(fast_sensors(sensor_stream(spark, folder))), "ts", event_end(spark, folder))
-    return rounded(drain(spark, live.live(rows, "stillness", "ts", ["event_id"])))
+    return rounded(drain(spark, live.live(rows, "stillness", "ts", ["event_id"], lanes=LANES)))
 
 
 SWEEP_STEP = 200_000_000

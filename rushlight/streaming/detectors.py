@@ -96,23 +96,21 @@ class Stillness:
         known = np.concatenate([[s["gravity"] or [np.nan] * 3], gravity[accel]])[np.cumsum(accel)]
         frozen = (sensor == "mark") & ~np.isnan(known[:, 0])
         span = np.cumsum(frozen)
-        made = []
-        # a pose and what is judged against it: a batch touches few of them
-        for at in np.unique(span):
-            if at:
-                s.update(reference=known[frozen][at - 1].tolist(), tilt=0.0, max_tilt=0.0, disturbed=False, residual=0.0, last=None)
-            mine = (span == at) & (sensor != "mark")
-            if mine.any():
-                made.append(self._span(s, sensor[mine], t[mine], v[mine], gravity[mine]))
+        references = np.concatenate([[s["reference"] or [np.nan] * 3], known[frozen]])
+        moved = sensor != "mark"
+        made = self._judge(s, sensor[moved], t[moved], v[moved], gravity[moved], span[moved], references)
         if accel.any():
             s["gravity"] = gravity[accel][-1].tolist()
-        return pd.concat(made, ignore_index=True) if made else pd.DataFrame()
+        return made
 
-    def _span(self, s: dict, sensor: np.ndarray, t: np.ndarray, v: np.ndarray, gravity: np.ndarray) -> pd.DataFrame:
-        held = s["reference"] is not None
+    def _judge(self, s: dict, sensor: np.ndarray, t: np.ndarray, v: np.ndarray, gravity: np.ndarray, span: np.ndarray, references: np.ndarray) -> pd.DataFrame:
+        """One row per sample; only what begins anew with each pose goes pose by pose."""
         gyro, accel = sensor == "gyro", sensor == "accel"
-        turn = v[gyro]
-        bias = np.broadcast_to(s["bias"], turn.shape) if held else gated(np.array(s["bias"]), turn, BIAS_ALPHA, 2 * GYRO_REST_RAD_S)
+        turn, free = v[gyro], 0 if s["reference"] is not None else int((span[gyro] == 0).sum())
+        if free:
+            moving = gated(np.array(s["bias"]), turn[:free], BIAS_ALPHA, 2 * GYRO_REST_RAD_S)
+            s["bias"] = moving[-1].tolist()
+        bias = np.concatenate([moving, np.broadcast_to(s["bias"], turn[free:].shape)]) if free else np.broadcast_to(s["bias"], turn.shape)
         speed = np.linalg.norm(turn - bias, axis=1)
         shake = np.abs(np.linalg.norm(v[accel], axis=1) - np.linalg.norm(gravity[accel], axis=1))
         spread = {}
@@ -122,22 +120,33 @@ class Stillness:
             spread[name] = np.concatenate([[first], roots])[np.cumsum(one)]
             s[name] = [*s[name], *values.tolist()][-REST_WINDOW:]
         quiet = (spread["gyro"] < GYRO_REST_RAD_S) & (spread["accel"] < ACCEL_REST_M_S2)
-        if len(bias):
-            s["bias"] = bias[-1].tolist()
         tilt, most = np.zeros(len(t)), np.zeros(len(t))
         upset, residual = np.zeros(len(t), bool), np.zeros(len(t))
-        if held:
-            against = _degrees_between(gravity[accel], np.array(s["reference"]))
-            tilt = np.concatenate([[s["tilt"]], against])[np.cumsum(accel)]
-            most = np.maximum(np.maximum.accumulate(tilt), s["max_tilt"])
-            upset = np.logical_or.accumulate(~quiet | (accel & (tilt > MAX_TILT_DEG))) | s["disturbed"]
-            before = np.concatenate([[t[gyro][0] if s["last"] is None and gyro.any() else s["last"] or 0], t[gyro][:-1]])[: gyro.sum()]
-            step = t[gyro] - before
-            grown = np.where((step > 0) & (step <= MAX_STEP_NS), speed * step / 1e9, 0.0)
-            residual = s["residual"] + np.concatenate([[0.0], np.cumsum(grown)])[np.cumsum(gyro)]
-            s.update(tilt=float(tilt[-1]), max_tilt=float(most[-1]), disturbed=bool(upset[-1]), residual=float(residual[-1]))
-            if gyro.any():
-                s["last"] = int(t[gyro][-1])
+        against, of = np.zeros(len(t)), np.zeros(len(t))
+        against[accel] = _degrees_between(gravity[accel], references[span[accel]])
+        of[gyro] = speed
+        bounds = np.searchsorted(span, np.arange(len(references) + 1)).tolist()
+        for at, (low, high) in enumerate(zip(bounds, bounds[1:])):
+            if at:
+                s.update(reference=references[at].tolist(), tilt=0.0, max_tilt=0.0, disturbed=False, residual=0.0, last=None)
+            if s["reference"] is None or low == high:
+                continue
+            own, turns = accel[low:high], gyro[low:high]
+            part = tilt[low:high] = np.concatenate([[s["tilt"]], against[low:high][own]])[np.cumsum(own)]
+            most[low:high] = np.maximum(np.maximum.accumulate(part), s["max_tilt"])
+            upset[low:high] = np.logical_or.accumulate(~quiet[low:high] | (own & (part > MAX_TILT_DEG))) | s["disturbed"]
+            times = t[low:high][turns]
+            if len(times):
+                before = np.concatenate([[times[0] if s["last"] is None else s["last"]], times[:-1]])
+                step = times - before
+                grown = np.where((step > 0) & (step <= MAX_STEP_NS), of[low:high][turns] * step / 1e9, 0.0)
+                residual[low:high] = s["residual"] + np.concatenate([[0.0], np.cumsum(grown)])[np.cumsum(turns)]
+                s["last"] = int(times[-1])
+            else:
+                residual[low:high] = s["residual"]
+            s.update(tilt=float(part[-1]), max_tilt=float(most[high - 1]), disturbed=bool(upset[high - 1]), residual=float(residual[high - 1]))
+        if not len(t):
+            return pd.DataFrame()
         opened = quiet & ~np.concatenate([[s["since"] is not None], quiet[:-1]])
         since = last_known(s["since"] or 0, t, opened)
         s["since"] = int(since[-1]) if quiet[-1] else None

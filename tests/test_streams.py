@@ -141,6 +141,26 @@ def test_captures_share_lanes(spark, tmp_path):
     assert {r.user_map_key.capture for r in store("kept", last).select("user_map_key").collect()} == {"=42"}
 
 
+def test_many_poses_in_one_batch_and_in_many(monkeypatch):
+    """The tracker gives the same rows however they are cut, a pose at every seventh row, and judges all poses at once."""
+    from rushlight.streaming import detectors
+    from rushlight.streaming.detectors import Stillness
+
+    asked, plain = [], detectors._degrees_between
+    monkeypatch.setattr(detectors, "_degrees_between", lambda a, b: asked.append(len(a)) or plain(a, b))
+
+    rng = np.random.default_rng(3)
+    kinds = ["mark" if i % 7 == 6 else "accel" if i % 2 else "gyro" for i in range(200)]
+    rows = pd.DataFrame({"t_ns": np.arange(200) * 5_000_000, "sensor": kinds, "x": rng.normal(size=200) * 0.01, "y": rng.normal(size=200) * 0.01, "z": 0.01})
+    rows.loc[rows["sensor"] == "accel", "z"] = 9.81
+    tracker, whole, parts = Stillness(), Stillness().start(), Stillness().start()
+    a = tracker.advance(whole, rows)
+    assert len(asked) == 1
+    b = pd.concat([tracker.advance(parts, rows[low : low + 13]) for low in range(0, 200, 13)], ignore_index=True)
+    pd.testing.assert_frame_equal(a, b, rtol=0, atol=1e-7)  # arc cosines near one
+    assert len(a) == 172 and whole["last"] == parts["last"] and a["max_tilt_deg"].max() > 0
+
+
 def test_the_gate_follows_the_serial_recurrence(spark):
     """Rows near the limit, a hot capture in many blocks: the windows agree with a walk along every capture."""
     from rushlight.plans.recurrence import gated_ema
