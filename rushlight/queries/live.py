@@ -127,7 +127,7 @@ def sweep_replay(spark, folder):
 @query("str2_live_sweep", SWEEPS)
 def live_sweep(spark, folder):
     rows = ended(spark, squeezed(sensor_stream(spark, folder)), "ts", event_end(spark, folder))
-    return rounded(drain(spark, live.live(rows, "sweep", "ts", ["event_id"], max_step=SWEEP_STEP)))
+    return rounded(drain(spark, live.live(rows, "sweep", "ts", ["event_id"], lanes=LANES, max_step=SWEEP_STEP)))
 
 
 def ticks(spark, folder):
