@@ -27,6 +27,20 @@ def model():
     return pieces.PieceModel(open(MODEL, "rb").read())
 
 
+def test_full_memos_keep_what_came_first(model, monkeypatch):
+    monkeypatch.setattr(pieces, "MEMO", 60)
+    monkeypatch.setattr(pieces, "LASTING", 20)
+    encoder, plain = pieces.Encoder(model), pieces.Encoder(model)
+    first = "the quick brown fox \u2603 jumps over \ue000x it"
+    assert encoder.encode(first) == plain.encode(first)
+    often = list(encoder)
+    for n in range(40):
+        text = " ".join(f"w{n}x{k}\u2603" for k in range(7)) + " " + first
+        plain.clear(), plain.spelt.clear(), plain.model._fit.clear()
+        assert encoder.encode(text) == plain.encode(text)
+        assert all(c in encoder for c in often) and len(encoder) <= 60 + 20
+
+
 def test_encoder_is_the_librarys(model):
     encoder = pieces.Encoder(model)
     for text in hard_texts():
