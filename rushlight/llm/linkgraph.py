@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rushlight.plans.sizing import settle
+from rushlight.plans.sizing import planned_once, settle
 
 DAMPING = 0.85
 TOLERANCE = 1e-6  # largest share of its score that a host may still gain in ROUNDS_A_TABLE rounds
@@ -117,9 +117,11 @@ def personalised_rank(
     score in the last ``ROUNDS_A_TABLE`` (one number a kind), so hosts far from all seeds are reached and settled as the
     near ones are; ``rounds``, if given, ends them earlier. A round is one join of edges and scores and one sum, combined
     before its shuffle; every ``ROUNDS_A_TABLE`` rounds are written to shared files, which a lost executor costs at most.
+    They are one job, planned once: planning them anew after every stage would fill the driver with plans.
     """
     outs = edges.groupBy("kind", "src").agg(F.sum("weight").alias("out"))
     share = settle(edges.join(outs, ["kind", "src"]).select("kind", "src", "dst", (F.col("weight") / F.col("out")).alias("share")))
+    size = share.count()
     masses = seeds.groupBy("kind").agg(F.sum("mass").alias("all"))
     start = settle(
         seeds.groupBy("kind", "host").agg(F.sum("mass").alias("mass")).join(F.broadcast(masses), "kind")  # a row per kind
@@ -137,9 +139,10 @@ def personalised_rank(
             parts = moved.union(fresh)
             scores = parts.groupBy("kind", "host").agg(F.sum("score").alias("score"))
         last = parts.withColumn("before", F.lit(0.0)).union(before)
-        both = settle(last.groupBy("kind", "host").agg(F.sum("score").alias("score"), F.sum("before").alias("before")))
-        gains = both.filter("score > 0").groupBy("kind").agg(F.max((F.col("score") - F.col("before")) / F.col("score")).alias("gain"))
-        gain = max([r["gain"] for r in gains.collect()], default=0.0)
+        with planned_once(edges.sparkSession, size):
+            both = settle(last.groupBy("kind", "host").agg(F.sum("score").alias("score"), F.sum("before").alias("before")))
+            gains = both.filter("score > 0").groupBy("kind").agg(F.max((F.col("score") - F.col("before")) / F.col("score")).alias("gain"))
+            gain = max([r["gain"] for r in gains.collect()], default=0.0)
         scores, done = both.select("kind", "host", "score"), done + turns
     sums = scores.groupBy("kind").agg(F.sum("score").alias("all"))
     return scores.join(F.broadcast(sums), "kind").select("kind", "host", (F.col("score") / F.col("all")).alias("score"))

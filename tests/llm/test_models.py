@@ -7,6 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from rushlight.llm import blocks, linkgraph, queries, toxicity
+from rushlight.plans import sizing
+from rushlight.plans.sizing import settle
 
 FOLDER = "/root/testdata/sf0.01"
 
@@ -230,6 +232,38 @@ def test_rank_against_dense_iteration(spark):
     assert all(abs(got.get(f"h{i}", 0.0) - score[i]) < 1e-3 for i in range(n))
 
 
+def test_rounds_of_a_table_are_one_job_planned_once(spark, monkeypatch):
+    edges = spark.createDataFrame([("t", f"h{i}", f"h{(i * 7 + j) % 50}", 1.0 + j) for i in range(50) for j in (1, 3)],
+                                  "kind string, src string, dst string, weight double")
+    edges, seeds = settle(edges), settle(spark.createDataFrame([("t", "h0", 2.0)], "kind string, host string, mass double"))
+    conf = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.shuffle.partitions")}
+    sc, made, got = spark.sparkContext, {}, {}
+    for rounds, rows in ((6, 50_000), (18, 50_000), (18, 10)):  # 100 edges: one partition, or all the session has
+        monkeypatch.setattr(sizing, "ROWS_PLANNED", rows)
+        sc.setJobGroup(group := f"rounds-{rounds}-{rows}", "")
+        try:
+            ranks = linkgraph.personalised_rank(edges, seeds, rounds=rounds)
+        finally:
+            sc.setLocalProperty("spark.jobGroup.id", None)
+        sc._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+        made[rounds, rows] = len(sc.statusTracker().getJobIdsForGroup(group))
+        got[rounds, rows] = {r.host: r.score for r in ranks.collect()}
+        assert conf == {k: spark.conf.get(k) for k in conf}
+    # two more tables of six rounds: the rounds, their gains and up to three broadcasts each, not a job for each round
+    assert made[18, 50_000] - made[6, 50_000] <= 2 * 5
+    assert got[18, 10].keys() == got[18, 50_000].keys()
+    assert all(abs(got[18, 10][h] - v) < 1e-12 for h, v in got[18, 50_000].items())
+
+
+def test_planned_once_restores_the_session(spark):
+    names = ("spark.sql.adaptive.enabled", "spark.sql.shuffle.partitions")
+    before = [spark.conf.get(k) for k in names]
+    with pytest.raises(ZeroDivisionError), sizing.planned_once(spark, 60_000):
+        assert [spark.conf.get(k) for k in names] == ["false", "2"]
+        1 / 0  # noqa: B018
+    assert [spark.conf.get(k) for k in names] == before
+
+
 def test_links_carry_trust_and_distrust(spark):
     pages = [
         (1, "http://good.org/a", '<a href="http://friend.net/x">'), (2, "http://friend.net/y", ""), (3, "http://bad.example.org/es/1", ""),
