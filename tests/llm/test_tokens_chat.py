@@ -2,6 +2,7 @@ import hashlib
 import random
 import time
 
+import numpy as np
 import public_tokenizers
 import pytest
 import sentencepiece
@@ -56,6 +57,23 @@ def test_bytes_that_are_no_characters_decode_as_the_library_does(model):
         assert model.decode(ids) == LIBRARY.decode(ids)
 
 
+def test_what_is_decoded_comes_from_the_ids(model):
+    encoder = pieces.Encoder(model)
+    encoder["▁cat"] = encoder["▁dog"]
+    ids, back = encoder.encode("the cat ☃")
+    assert back == "the dog ☃" == LIBRARY.decode(ids)
+
+
+def test_rows_decode_at_once_as_one_by_one(model):
+    rnd = random.Random(5)
+    whole = [LIBRARY.encode(text, add_bos=n % 3 == 0, add_eos=n % 2 == 0) for n, text in enumerate(hard_texts())]
+    some = lambda: rnd.choice([model.bytes[rnd.randrange(256)], rnd.randrange(3, 32000), model.begin, model.unknown])
+    for rows in (whole, [[]], [], [[some() for _ in range(rnd.randint(0, 8))] for _ in range(300)], [[model.bytes[0xC3], model.end, model.bytes[0xA9]]]):
+        ends = np.cumsum([0, *map(len, rows)])
+        made = model.decode_rows(np.array([i for r in rows for i in r], np.int32), ends)
+        assert made.to_pylist() == [LIBRARY.decode(r) if r else "" for r in rows] == [model.decode(r) for r in rows]
+
+
 def test_transducer_counts_like_the_library(model):
     texts = hard_texts()
     want = [len(x) for x in LIBRARY.encode(texts)]
